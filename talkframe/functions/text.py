@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as white space.
-WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The characters that count as white space, as a list and as a pattern.
+WHITE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+WHITE = r"\s\x0b\p{Z}" + "\ufeff"
 SPACE = f"[{WHITE}]"
 NOT_SPACE = f"[^{WHITE}]"
 
@@ -19,11 +20,11 @@ UNKNOWN_SIDE = "Belirsiz"
 
 def lower_tr(c: Column) -> Column:
     """Turkish lower case: I to ı and İ to i, which plain ``lower`` gets wrong."""
-    return F.lower(F.translate(c, "Iİ", "ıi"))
+    return F.lower(F.replace(F.replace(c, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i")))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(WHITE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -57,7 +58,7 @@ def half_up(c: Column, digits: int) -> Column:
 
 # --- normalisation for value matching ----------------------------------------------------------
 
-APOSTROPHES = "['‘’`´ʼ]"  # fixed values
+APOSTROPHES = "'‘’`´ʼ"  # fixed values
 
 
 def match_form(c: Column) -> Column:
@@ -66,15 +67,16 @@ def match_form(c: Column) -> Column:
     Apostrophes vanish, a spelt-out or spaced percent sign is joined to its number, thousands
     groups are closed, a decimal point becomes a comma, and a comma survives only between digits.
     """
-    v = F.regexp_replace(lower_tr(c), APOSTROPHES, "")
-    v = F.regexp_replace(v, rf"yüzde{SPACE}+(?=[0-9])", "%")
-    v = F.regexp_replace(v, rf"%{SPACE}+(?=[0-9])", "%")
+    plain = F.lower(F.translate(c, "Iİ" + APOSTROPHES, "ıi"))
+    # Without a digit every comma parts words, and nothing else needs a closer look.
+    wordy = F.trim(F.regexp_replace(plain, r"[^\p{L}%]+", " "))
+    v = F.regexp_replace(plain, rf"(?:yüzde|%){SPACE}+(?=[0-9])", "%")
     v = close_thousands(v)
     v = F.regexp_replace(v, r"([0-9])\.([0-9])", "$1,$2")
     v = F.regexp_replace(v, r"[^\p{L}\p{N}%,]+", " ")
-    v = F.regexp_replace(v, r",(?!\p{N})", " ")
-    v = F.regexp_replace(v, r"(?<!\p{N}),", " ")
-    return squeeze(v)
+    v = F.regexp_replace(v, r",(?!\p{N})|(?<!\p{N}),", " ")
+    v = F.trim(F.regexp_replace(v, " {2,}", " "))
+    return F.when(F.regexp_like(c, F.lit(r"\p{N}")), v).otherwise(wordy)
 
 
 def close_thousands(v: Column) -> Column:
@@ -120,18 +122,21 @@ def _number_value(run: Column) -> Column:
 
 
 def compare_line(c: Column) -> Column:
-    """Comparable words joined by spaces: numbers as digits, percent joined to its number."""
-    s = F.regexp_replace(lower_tr(c), rf"[^\p{{L}}\p{{N}}%.,{WHITE}]", " ")
+    """Comparable words joined by spaces: numbers as digits, percent joined to its number.
+
+    Separators inside numbers vanish (two passes, so that three groups close); every other mark
+    parts words. Runs of number words are cut out of the line, valued, and put back.
+    """
+    s = lower_tr(c)
+    joined = s
     for _ in range(2):
-        s = F.regexp_replace(s, r"([0-9])[.,]([0-9])", "$1$2")
-    s = squeeze(F.regexp_replace(s, "[.,]", " "))
-    run = rf"(?<![^ ])({_NUMBER}(?: {_NUMBER})*)(?![^ ])"
+        joined = F.regexp_replace(joined, r"([0-9])[.,]([0-9])", "$1$2")
+    s = F.when(F.regexp_like(c, F.lit("[0-9]")), joined).otherwise(s)
+    s = F.concat(F.lit(" "), F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}%]+", " ")), F.lit(" "))
+    run = rf"(?<= )({_NUMBER}(?: {_NUMBER})*)(?= )"
     pieces = F.split(F.regexp_replace(s, run, f"{_MARK}$1{_MARK}"), _MARK)
-    folded = F.array_join(
-        F.transform(pieces, lambda x, i: F.when(i % 2 == 1, _number_value(x).cast("string")).otherwise(x)), ""
-    )
-    s = F.when(F.instr(F.regexp_replace(s, run, _MARK), _MARK) > 0, folded).otherwise(s)
-    return F.regexp_replace(s, r"(?<![^ ])(?:yüzde|%) ([0-9]+)(?![^ ])", "%$1")
+    folded = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, _number_value(x).cast("string")).otherwise(x))
+    return F.trim(F.regexp_replace(F.array_join(folded, ""), r"(?<= )(?:yüzde|%) ([0-9]+)(?= )", "%$1"))
 
 
 def compare_words(c: Column) -> Column:

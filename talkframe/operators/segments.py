@@ -46,30 +46,25 @@ IMPLAUSIBLE_RATE = 25.0
 SHORTEST_REPEAT = 4
 
 
-def _run_exists(line: Column, before: Column, fifths: int) -> Column:
-    """Whether ceil(fifths/5 of the words of ``line``) consecutive ones stand in ``before``.
+def _run_exists(tokens: Column, hay: Column, fifths: int) -> Column:
+    """Whether ceil(fifths/5 of ``tokens``) consecutive ones stand in ``hay``.
 
     Tried per starting word as a substring search between spaces: exact, no pairs of words are
-    built, and a word repeated thousands of times costs no more than any other.
+    built, and a word repeated thousands of times costs no more than any other. All such runs
+    share their middle words, so one search for those settles nearly every row.
     """
-    tokens = F.split(line, " ")
     size = F.size(tokens)
     need = ((size * fifths + 4) / 5).cast("int")
-    hay = F.concat(F.lit(" "), before, F.lit(" "))
-    return F.exists(
-        F.sequence(F.lit(1), size - need + 1),
-        lambda at: F.contains(hay, F.concat(F.lit(" "), F.array_join(F.slice(tokens, at, need), " "), F.lit(" "))),
-    )
+    found = lambda at, n: F.contains(hay, F.concat(F.lit(" "), F.array_join(F.slice(tokens, at, n), " "), F.lit(" ")))
+    middle = found(size - need + 1, need - (size - need))
+    return middle & F.exists(F.sequence(F.lit(1), size - need + 1), lambda at: found(at, need))
 
 
-def repeats_before(line: Column, before: Column, rate: Column) -> Column:
-    """Whether a segment repeats the words before it. Both lines are :func:`word_line` forms."""
-    long_enough = (line != "") & (F.size(F.split(line, " ")) >= SHORTEST_REPEAT) & (before != "")
+def repeats_before(tokens: Column, hay: Column, rate: Column) -> Column:
+    """Whether a segment's words repeat the words before it, given as one line between spaces."""
     weak = F.coalesce(rate > IMPLAUSIBLE_RATE, F.lit(False))
-    return F.when(
-        long_enough,
-        F.when(weak, _run_exists(line, before, WEAK_FIFTHS)).otherwise(_run_exists(line, before, STRONG_FIFTHS)),
-    ).otherwise(False)
+    run = F.when(weak, _run_exists(tokens, hay, WEAK_FIFTHS)).otherwise(_run_exists(tokens, hay, STRONG_FIFTHS))
+    return F.when(F.size(tokens) >= SHORTEST_REPEAT, run).otherwise(False)
 
 
 def flag_repeats(segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -77,14 +72,11 @@ def flag_repeats(segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     lined = segments.withColumn("_line", X.word_line(F.col("text")))
     haloed = with_halo(lined, "seg_idx", before=2, size=block_rows)
     w = block_window(MEETING, "seg_idx")
-    before = F.trim(
-        F.concat_ws(" ", F.coalesce(F.lag("_line", 2).over(w), F.lit("")), F.coalesce(F.lag("_line", 1).over(w), F.lit("")))
-    )
-    rated = haloed.withColumn("_before", before)
-    rows = core_rows(rated)
+    hay = F.concat_ws(" ", F.lit(""), F.lag("_line", 2).over(w), F.lag("_line", 1).over(w), F.lit(""))
+    rows = core_rows(haloed.withColumn("_hay", hay)).withColumn("_tokens", X.split_words(F.col("_line")))
     rate = X.chars_per_second(F.col("text"), F.col("start"), F.col("end"))
-    flag = repeats_before(F.col("_line"), F.col("_before"), rate)
-    return rows.withColumn("duplicate", F.col("duplicate") | flag).drop("_line", "_before")
+    flag = repeats_before(F.col("_tokens"), F.col("_hay"), rate)
+    return rows.withColumn("duplicate", F.col("duplicate") | flag).drop("_line", "_hay", "_tokens")
 
 
 def flag_orphans(segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

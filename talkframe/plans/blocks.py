@@ -142,18 +142,32 @@ def scan(
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal ``label`` per key from 0, for rows that carry a block column."""
+    return runs(df, keys, order, label, lambda before, here: before.eqNullSafe(here), name)
+
+
+def runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    same: Callable[[Column, Column], Column],
+    name: str = "island",
+) -> DataFrame:
+    """Number runs per key from 0; a row stays in its predecessor's run where ``same`` holds."""
     part = [*keys, BLK]
     inside = Window.partitionBy(*part).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(BLK)
     rank = F.struct(*[F.col(c) for c in order])
-    boxed = F.struct(label.alias("l"))
+    boxed = F.struct(value.alias("v"))
+    broken = lambda before, here: ~F.coalesce(same(before["v"], here["v"]), F.lit(False))
 
     rows = df.withColumn("_box", boxed).withColumn("_prev", F.lag("_box").over(inside))
-    rows = rows.withColumn("_new", (F.col("_prev").isNotNull() & ~F.col("_prev").eqNullSafe(F.col("_box"))).cast("bigint"))
-    edge = (F.lag("_last").over(across).isNull() | ~F.lag("_last").over(across).eqNullSafe(F.col("_first"))).cast("bigint")
+    rows = rows.withColumn("_new", (F.col("_prev").isNotNull() & broken(F.col("_prev"), F.col("_box"))).cast("bigint"))
+    edge = (F.col("_earlier").isNull() | broken(F.col("_earlier"), F.col("_first"))).cast("bigint")
     summary = (
         rows.groupBy(*part)
         .agg(F.sum("_new").alias("_inner"), F.min_by("_box", rank).alias("_first"), F.max_by("_box", rank).alias("_last"))
+        .withColumn("_earlier", F.lag("_last").over(across))
         .withColumn("_edge", edge)
         .select(
             *part,

@@ -12,7 +12,10 @@ from talkframe.sources.scripts import spoken_centiseconds
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table == "events":
+        return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return df
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +110,7 @@ def sql_words(column: str) -> str:
     return WORDS_SQL.format(column)
 
 
-SPACE_SQL = "[" + X.WHITE + "]"
+SPACE_SQL = X.SPACE
 
 
 def sql_strip(column: str) -> str:
@@ -116,3 +119,174 @@ def sql_strip(column: str) -> str:
 
 def sql_squeeze(column: str) -> str:
     return f"trim(regexp_replace({column}, '{SPACE_SQL}+', ' ', 'g'))"
+
+
+# --- events as recordings ------------------------------------------------------------------------
+
+RECORDING = 1024  # events per recording
+
+
+def day_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks of a day as segments: start is the time of day, length the value in minutes."""
+    return _day_spans(spark, sf_dir, ("view", "click")).select(
+        "meeting_id",
+        F.col("event_id").alias("seg_idx"),
+        "start",
+        "end",
+        F.lit("").alias("text"),
+        F.lit(None).cast("string").alias("speaker"),
+        F.lit(None).cast("string").alias("source"),
+        F.lit(False).alias("duplicate"),
+        F.lit(False).alias("overlap"),
+    )
+
+
+def day_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and sign-ups of a day as speaker turns."""
+    spans = _day_spans(spark, sf_dir, ("purchase", "signup"))
+    speaker = F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string"))
+    return spans.select("meeting_id", F.col("event_id").alias("turn_idx"), "start", "end", speaker.alias("speaker"))
+
+
+def _day_spans(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    events = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*kinds))
+    start = (F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", "ts"))) / 1e6
+    return events.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("meeting_id"),
+        "event_id",
+        "user_id",
+        start.alias("start"),
+        (start + F.floor(F.col("value") * 60)).alias("end"),
+    )
+
+
+DAY_SQL = """
+spans AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS meeting_id, event_id, user_id, event_type,
+         epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS s,
+         epoch_us(ts) - epoch_us(date_trunc('day', ts)) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e
+  FROM events)
+"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as energy frames, 1024 to a recording; the type of an event picks its channel."""
+    rms = (F.col("value") / 100).cast("float")
+    quiet = F.lit(0.001).cast("float")
+    on = lambda *kinds: F.when(F.col("event_type").isin(*kinds), rms).otherwise(quiet)
+    return read(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / RECORDING).alias("meeting_id"),
+        (F.col("event_id") % RECORDING).alias("frame"),
+        on("view", "click").alias("mic"),
+        on("purchase", "signup").alias("system"),
+    )
+
+
+def side_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events as the segments of those recordings; they last a quarter of their value in frames."""
+    start = (F.col("event_id") % RECORDING) * 0.016
+    return read(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(
+        F.floor(F.col("event_id") / RECORDING).alias("meeting_id"),
+        F.col("event_id").alias("seg_idx"),
+        start.alias("start"),
+        (start + F.col("value") * 0.004).alias("end"),
+        F.lit("").alias("text"),
+        F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("speaker"),
+        F.lit(None).cast("string").alias("source"),
+        F.lit(False).alias("duplicate"),
+        F.lit(False).alias("overlap"),
+    )
+
+
+FRAMES_SQL = f"""
+frames AS (
+  SELECT event_id // {RECORDING} AS meeting_id, event_id % {RECORDING} AS frame,
+    CAST(CASE WHEN event_type IN ('view', 'click') THEN value / 100 ELSE 0.001 END AS FLOAT) AS mic,
+    CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN value / 100 ELSE 0.001 END AS FLOAT) AS system FROM events),
+side_segments AS (
+  SELECT event_id // {RECORDING} AS meeting_id, event_id AS seg_idx, CAST(event_id % {RECORDING} AS DOUBLE) * CAST(0.016 AS DOUBLE) AS start,
+    CAST(event_id % {RECORDING} AS DOUBLE) * CAST(0.016 AS DOUBLE) + value * CAST(0.004 AS DOUBLE) AS "end",
+    'S' || (user_id % 5) AS speaker FROM events WHERE event_type = 'error')
+"""
+
+TAPE = 65_536  # samples per tape
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values as sound samples; the second and third week of a month are a hundred times louder."""
+    loud = F.dayofmonth("ts").between(8, 22)
+    return read(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / TAPE).alias("meeting_id"),
+        (F.col("event_id") % TAPE).alias("sample_idx"),
+        F.when(loud, F.col("value") / 100).otherwise(F.col("value") / 10000).cast("float").alias("value"),
+    )
+
+
+SAMPLES_SQL = f"""
+samples AS (
+  SELECT event_id // {TAPE} AS meeting_id, event_id % {TAPE} AS sample_idx,
+    CAST(CASE WHEN day(ts) BETWEEN 8 AND 22 THEN value / 100 ELSE value / 10000 END AS FLOAT) AS value FROM events)
+"""
+
+
+# --- embeddings as voice windows -----------------------------------------------------------------
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as overlapping voice windows of five meetings."""
+    w = F.floor(F.col("vec_id") / 5)
+    return read(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") % 5).alias("meeting_id"),
+        w.cast("int").alias("w_idx"),
+        (w * 0.75).alias("mask_start"),
+        (w * 0.75 + 1.5).alias("mask_end"),
+        "label",
+        "embedding",
+    )
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech of those meetings: eight windows to a region, with a short gap behind it."""
+    w = windows(spark, sf_dir)
+    spans = w.groupBy("meeting_id", F.floor(F.col("w_idx") / 8)).agg(F.min("mask_start").alias("start"), F.max("mask_end").alias("_end"))
+    return spans.select("meeting_id", "start", (F.col("_end") - 0.9).alias("end"))
+
+
+def usable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that have a voice; label 0 stands for a window without one."""
+    return windows(spark, sf_dir).filter(F.col("label") != 0)
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows(spark, sf_dir).groupBy("meeting_id").agg(F.max("mask_end").alias("duration"))
+
+
+WINDOWS_SQL = """
+windows AS (
+  SELECT vec_id % 5 AS meeting_id, CAST(vec_id // 5 AS INT) AS w_idx, CAST(vec_id // 5 AS DOUBLE) * 0.75 AS mask_start,
+    CAST(vec_id // 5 AS DOUBLE) * 0.75 + 1.5 AS mask_end, label, embedding FROM embeddings),
+regions AS (SELECT meeting_id, min(mask_start) AS start, max(mask_end) - CAST(0.9 AS DOUBLE) AS "end" FROM windows GROUP BY meeting_id, w_idx // 8),
+usable AS (SELECT * FROM windows WHERE label <> 0),
+speech AS (
+  SELECT DISTINCT meeting_id, unnest(generate_series(CAST(floor(start / CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(ceil("end" / CAST(0.05 AS DOUBLE)) AS BIGINT) - 1)) AS frame
+  FROM regions),
+votes AS (
+  SELECT meeting_id, label, unnest(generate_series(CAST(floor(mask_start / CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(ceil(mask_end / CAST(0.05 AS DOUBLE)) AS BIGINT) - 1)) AS frame
+  FROM usable),
+counted AS (SELECT meeting_id, frame, label, count(*) AS n FROM votes GROUP BY ALL),
+voted AS (SELECT meeting_id, frame, label FROM counted QUALIFY row_number() OVER (PARTITION BY meeting_id, frame ORDER BY n DESC, label) = 1),
+nearest AS (
+  SELECT s.meeting_id, s.frame, u.label
+  FROM speech s LEFT JOIN voted v USING (meeting_id, frame) JOIN usable u ON u.meeting_id = s.meeting_id
+  WHERE v.label IS NULL
+  QUALIFY row_number() OVER (PARTITION BY s.meeting_id, s.frame
+    ORDER BY abs((s.frame * 2 + 1) * CAST(0.025 AS DOUBLE) - (u.mask_start + u.mask_end) / 2), u.w_idx) = 1),
+assigned AS (
+  SELECT s.meeting_id, s.frame, coalesce(v.label, n.label) AS label
+  FROM speech s LEFT JOIN voted v USING (meeting_id, frame) LEFT JOIN nearest n USING (meeting_id, frame)),
+opened AS (
+  SELECT *, CASE WHEN lag(frame) OVER w = frame - 1 AND lag(label) OVER w = label THEN 0 ELSE 1 END AS opens
+  FROM assigned WINDOW w AS (PARTITION BY meeting_id ORDER BY frame)),
+ran AS (SELECT *, sum(opens) OVER (PARTITION BY meeting_id ORDER BY frame) AS run FROM opened),
+turns AS (SELECT meeting_id, min(frame) AS lo, max(frame) + 1 AS hi, min(label) AS label FROM ran GROUP BY meeting_id, run HAVING count(*) >= 5)
+"""
