@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,14 @@ UNKNOWN_SPEAKER = "SPEAKER_??"
 UNKNOWN_SIDE = "Belirsiz"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it.
+
+    A column named twice is computed twice, and one named inside a lambda once per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lower_tr(c: Column) -> Column:
     """Turkish lower case: I to ı and İ to i, which plain ``lower`` gets wrong."""
     return F.lower(F.replace(F.replace(c, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i")))
@@ -178,15 +187,11 @@ def rename_labels(text: Column, names: Column) -> Column:
     The text is cut at the labels once and each cut is looked up, so a written name is never
     looked at again.
     """
-    keys = F.array_sort(
-        F.map_keys(names), lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1))
-    )
-    alternatives = F.array_join(F.transform(keys, quote_pattern), "|")
-    pattern = F.concat(F.lit(_BEFORE_LABEL + "(?:"), alternatives, F.lit(")" + _AFTER_LABEL))
-    marked = F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f"{_MARK}$1{_MARK}"))
-    renamed = F.array_join(
-        F.transform(F.split(marked, _MARK), lambda x, i: F.when(i % 2 == 1, F.coalesce(names[x], x)).otherwise(x)), ""
-    )
+    longer_first = lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1))
+    alternatives = F.array_join(F.transform(F.array_sort(F.map_keys(names), longer_first), quote_pattern), "|")
+    pattern = F.concat(F.lit(f"({_BEFORE_LABEL}(?:"), alternatives, F.lit(f"){_AFTER_LABEL})"))
+    cuts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$1{_MARK}")), _MARK)
+    renamed = F.array_join(F.transform(cuts, lambda x, i: F.when(i % 2 == 1, F.coalesce(names[x], x)).otherwise(x)), "")
     return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, text).otherwise(renamed)
 
 
