@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from talkframe.plans import segment_queries, sound_queries, text_queries  # noqa: F401
+from talkframe.plans import archive_queries, live_queries, segment_queries, sound_queries, text_queries  # noqa: F401
 from talkframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

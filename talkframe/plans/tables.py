@@ -290,3 +290,85 @@ opened AS (
 ran AS (SELECT *, sum(opens) OVER (PARTITION BY meeting_id ORDER BY frame) AS run FROM opened),
 turns AS (SELECT meeting_id, min(frame) AS lo, max(frame) + 1 AS hi, min(label) AS label FROM ran GROUP BY meeting_id, run HAVING count(*) >= 5)
 """
+
+
+# --- conversations as an archive -----------------------------------------------------------------
+
+COPY = 100_000_000  # distance between a meeting's number and its copy's
+
+
+def meeting_key(n):
+    """Meeting number n as an id: n minutes after the start of 2026."""
+    return X.timestamp_to_id(F.timestamp_seconds(F.lit(1_767_225_600) + n * 60))
+
+
+def archive(spark: SparkSession, sf_dir: str):
+    """One meeting per conversation.
+
+    Every fourth has an edited copy, some copies point elsewhere, some lack a transcript; some
+    analyses are missing or unfinished.
+    """
+    from talkframe.operators.archive import Archive
+
+    turns = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "c")
+    numbers = turns.select("c").distinct()
+    none = F.lit(None).cast("string")
+    fourth, twelfth, fifth = F.col("c") % 4 == 0, F.col("c") % 12 == 0, F.col("c") % 5 == 0
+    first = numbers.select(
+        meeting_key(F.col("c")).alias("id"),
+        F.when(fifth, F.concat(F.lit("Meeting "), F.col("c").cast("string"))).alias("name"),
+        none.alias("original_id"),
+        F.when(fourth, meeting_key(F.col("c") + COPY)).alias("edited_id"),
+    )
+    copies = numbers.filter(fourth).select(
+        meeting_key(F.col("c") + COPY).alias("id"),
+        none.alias("name"),
+        F.when(twelfth, meeting_key(F.col("c") + 1)).otherwise(meeting_key(F.col("c"))).alias("original_id"),
+        none.alias("edited_id"),
+    )
+    rows = turns.select(
+        "c",
+        F.col("turn").alias("seg_idx"),
+        F.col("turn").cast("double").alias("start"),
+        (F.col("turn") + 1).cast("double").alias("end"),
+        "text",
+        F.concat(F.lit("SPEAKER_"), F.when(F.col("role") == "user", "1").otherwise("10")).alias("speaker"),
+        none.alias("source"),
+        F.lit(False).alias("duplicate"),
+        F.lit(False).alias("overlap"),
+    )
+    kept = rows.filter(fourth & (F.col("c") % 16 != 0)).withColumn("c", F.col("c") + COPY)
+    segs = rows.unionByName(kept).withColumn("meeting_id", meeting_key(F.col("c"))).drop("c")
+    note = F.concat(F.lit("SPEAKER_1: "), F.col("c").cast("string"), F.lit(" SPEAKER_10, SPEAKER_1"))
+    own = numbers.filter((F.col("c") % 3 != 0) | fourth).select(
+        meeting_key(F.col("c")).alias("meeting_id"), F.when(F.col("c") % 3 != 0, note).alias("markdown"), (F.col("c") % 7 == 0).alias("speakers_degraded")
+    )
+    edited = numbers.filter(fourth).select(meeting_key(F.col("c") + COPY).alias("meeting_id"), note.alias("markdown"), F.lit(False).alias("speakers_degraded"))
+    return Archive(first.unionByName(copies), segs, own.unionByName(edited))
+
+
+def key_sql(n: str) -> str:
+    return f"strftime(TIMESTAMP '2026-01-01' + to_minutes({n}), '%Y-%m-%dT%H-%M-%S-000Z')"
+
+
+ARCHIVE_SQL = f"""
+numbers AS (SELECT DISTINCT conv_id AS c FROM conversations),
+meetings AS (
+  SELECT c, {key_sql('c')} AS id, CASE WHEN c % 5 = 0 THEN 'Meeting ' || c END AS name, CAST(NULL AS VARCHAR) AS original_id,
+    CASE WHEN c % 4 = 0 THEN {key_sql(f'c + {COPY}')} END AS edited_id FROM numbers
+  UNION ALL
+  SELECT c + {COPY}, {key_sql(f'c + {COPY}')}, NULL, CASE WHEN c % 12 = 0 THEN {key_sql('c + 1')} ELSE {key_sql('c')} END, NULL FROM numbers WHERE c % 4 = 0),
+segs AS (
+  SELECT {key_sql('conv_id')} AS meeting_id, turn AS seg_idx, text, CASE WHEN role = 'user' THEN 'SPEAKER_1' ELSE 'SPEAKER_10' END AS speaker FROM conversations
+  UNION ALL
+  SELECT {key_sql(f'conv_id + {COPY}')}, turn, text, CASE WHEN role = 'user' THEN 'SPEAKER_1' ELSE 'SPEAKER_10' END FROM conversations WHERE conv_id % 4 = 0 AND conv_id % 16 <> 0),
+analyses AS (
+  SELECT {key_sql('c')} AS meeting_id, CASE WHEN c % 3 <> 0 THEN 'SPEAKER_1: ' || c || ' SPEAKER_10, SPEAKER_1' END AS markdown, c % 7 = 0 AS speakers_degraded
+  FROM numbers WHERE c % 3 <> 0 OR c % 4 = 0
+  UNION ALL SELECT {key_sql(f'c + {COPY}')}, 'SPEAKER_1: ' || c || ' SPEAKER_10, SPEAKER_1', false FROM numbers WHERE c % 4 = 0),
+has_text AS (SELECT DISTINCT meeting_id AS id FROM segs),
+versions AS (
+  SELECT m.id, coalesce(m.original_id, m.id) AS original, coalesce(e.id, coalesce(m.original_id, m.id)) AS active
+  FROM meetings m LEFT JOIN meetings o ON o.id = coalesce(m.original_id, m.id)
+  LEFT JOIN meetings e ON e.id = o.edited_id AND e.original_id = o.id AND e.id IN (SELECT id FROM has_text))
+"""
