@@ -20,7 +20,7 @@ def speaker_labels(segments: DataFrame) -> DataFrame:
 def name_changes(entries: DataFrame) -> DataFrame:
     """Entries ``(meeting_id, label, name)`` that change something; a refused name is an error."""
     name = X.strip(F.col("name"))
-    why = X.name_error(F.col("name"))
+    why = F.when(name != F.col("label"), X.name_error(F.col("name")))
     checked = F.when(why.isNull(), name).otherwise(F.raise_error(F.concat(F.lit("speaker name refused: "), why)).cast("string"))
     return entries.withColumn("name", checked).filter((F.col("name") != "") & (F.col("name") != F.col("label")))
 
