@@ -19,7 +19,9 @@ from talkframe.functions import text as X
 from talkframe.functions.entities import request_anchors, value_anchors
 from talkframe.operators import chunking
 from talkframe.operators.values import merge_values
-from talkframe.session import cut
+from talkframe.session import cut, runs_in_tasks
+
+runs_in_tasks(__name__)
 
 # Section keys, their headings in order, and what an empty section says.
 SECTIONS = {

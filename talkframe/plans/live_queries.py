@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.plans import tables as T
 from talkframe.plans.registry import query
-from talkframe.session import run_folder
+from talkframe.session import cut, run_folder
 from talkframe.sources.scripts import spoken_centiseconds
 from talkframe.streaming import live
 
@@ -40,10 +40,14 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hand_over(df: DataFrame, order: str, folder: str) -> str:
-    """Store rows step by step, so that a file stream reads them in order."""
-    steps = [r[0] for r in df.select(order).distinct().orderBy(order).collect()]
+    """Store rows step by step, so that a file stream reads them in order.
+
+    A step's files are as many as its size asks for.
+    """
+    kept = cut(df)
+    steps = [r[0] for r in kept.select(order).distinct().orderBy(order).collect()]
     for i, step in enumerate(steps):
-        df.filter(F.col(order) == step).write.mode("overwrite").parquet(f"{folder}/step-{i:06d}")
+        kept.filter(F.col(order) == step).hint("rebalance").write.mode("overwrite").parquet(f"{folder}/step-{i:06d}")
     return f"{folder}/*"
 
 

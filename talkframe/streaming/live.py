@@ -17,6 +17,9 @@ from talkframe.functions import text as X
 from talkframe.operators import segments as S
 from talkframe.operators.sides import SAMPLE_RATE
 from talkframe.plans.blocks import BLOCK_ROWS, block_window, core_rows, scan, with_block, with_halo
+from talkframe.session import runs_in_tasks
+
+runs_in_tasks(__name__)
 
 FIRST_ROUND_SAMPLES = 20 * SAMPLE_RATE
 TAIL_SAMPLES = int(1.5 * SAMPLE_RATE)

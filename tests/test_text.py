@@ -10,6 +10,9 @@ from talkframe.operators import analysis as A
 from talkframe.operators import chunking as C
 from talkframe.operators import quality as Q
 from talkframe.operators import values as V
+from talkframe.session import runs_in_tasks
+
+runs_in_tasks(__name__)
 
 a, b, c = F.col("a"), F.col("b"), F.col("c")
 
