@@ -22,8 +22,14 @@ def word_distance(heard: Column, meant: Column) -> Column:
     Each word of ``meant`` becomes one character; words that only ``heard`` has can never match,
     so they share one. The distance of the two strings is that of the arrays.
     """
-    spell = lambda ws, known: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(known, w))), "")
-    return X.let(F.array_distinct(meant), lambda known: F.levenshtein(spell(heard, known), spell(meant, known)))
+    none = _letter(F.lit(0))
+
+    def spelt(known: Column, letters: Column) -> Column:
+        spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.coalesce(F.get(letters, F.array_position(known, w) - 1), none)), "")
+        return F.levenshtein(spell(heard), spell(meant))
+
+    alphabet = lambda known: F.transform(known, lambda _, i: _letter(i + 1))
+    return X.let(F.array_distinct(meant), lambda known: X.let(alphabet(known), lambda letters: spelt(known, letters)))
 
 
 def error_rate(heard: Column, meant: Column) -> Column:

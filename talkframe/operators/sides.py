@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talkframe.operators.segments import MEETING, duration_us, has_speaker
 from talkframe.plans.blocks import order_statistics
+from talkframe.session import cut
 
 FRAME_SAMPLES = 256
 SAMPLE_RATE = 16_000
@@ -66,8 +67,9 @@ def leveled_frames(frames: DataFrame) -> DataFrame:
     Squares are fixed-point numbers, so sums over them do not depend on their order. Meetings in
     which neither channel ever carries speech are left out.
     """
-    system_scale = calibrate(frames, "system")
-    cleaned = suppress_echo(frames, echo_coupling(frames, system_scale))
+    # One row per meeting each, used more than once: kept, so that no statistic is worked out twice.
+    system_scale = cut(calibrate(frames, "system"))
+    cleaned = suppress_echo(frames, cut(echo_coupling(frames, system_scale)))
     mic_scale = calibrate(cleaned, "mic")
     scales = mic_scale.select("meeting_id", F.col("floor").alias("mf"), F.col("span").alias("ms")).join(
         system_scale.select("meeting_id", F.col("floor").alias("sf"), F.col("span").alias("ss")), "meeting_id", "full"

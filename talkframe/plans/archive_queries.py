@@ -12,6 +12,7 @@ from talkframe.plans import tables as T
 from talkframe.plans.blocks import scan, with_block
 from talkframe.plans.registry import query
 from talkframe.plans.segment_queries import dialogue_sql
+from talkframe.session import widen
 from talkframe.sources import corpus
 from talkframe.sources import runs as run_files
 from talkframe.sources.meetings import markdown_lines
@@ -71,13 +72,16 @@ def id_timestamps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "saved_order",
     ARC
-    + """SELECT id, row_number() OVER (ORDER BY CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN c % 3 = 0 THEN c END, c DESC) AS place FROM meetings WHERE original_id IS NULL""",
+    + """SELECT id, row_number() OVER (ORDER BY c IN (SELECT conv_id FROM conversations WHERE role = 'system'),
+      CASE WHEN c IN (SELECT conv_id FROM conversations WHERE role = 'system') THEN c END, c DESC) AS place FROM meetings WHERE original_id IS NULL""",
 )
 def saved_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third meeting has a saved place; the place of all is told by how many sort before it."""
-    numbers = T.read(spark, sf, "conversations").select("conv_id").distinct()
+    """Meetings with a system voice have a saved place; the place of all is told by how many sort before it."""
+    turns = T.read(spark, sf, "conversations")
+    numbers = turns.select("conv_id").distinct()
+    placed = turns.filter(F.col("role") == "system").select("conv_id").distinct()
     meetings = numbers.select(T.meeting_key(F.col("conv_id")).alias("id"), (-F.col("conv_id")).alias("pos"))
-    saved = numbers.filter(F.col("conv_id") % 3 == 0).select(T.meeting_key(F.col("conv_id")).alias("id"), F.col("conv_id").alias("saved_pos"))
+    saved = placed.select(T.meeting_key(F.col("conv_id")).alias("id"), F.col("conv_id").alias("saved_pos"))
     ordered = R.saved_order(meetings, saved)
     # Places are counted over ranks that each half of the order knows by itself.
     keyed = ordered.withColumn("_one", F.lit(1)).withColumn("_rank", F.coalesce(F.col("saved_pos") + 10**12, F.col("pos") + 10**9))
@@ -86,8 +90,9 @@ def saved_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Two requests for every second meeting, of which the later counts."""
-    numbers = T.read(spark, sf, "conversations").select(F.col("conv_id").alias("c")).distinct().filter(F.col("c") % 2 == 0)
+    """Two requests for every meeting with a system voice, of which the later counts."""
+    turns = T.read(spark, sf, "conversations").filter(F.col("role") == "system")
+    numbers = turns.select(F.col("conv_id").alias("c")).distinct()
     each = numbers.withColumn("op_idx", F.explode(F.array(F.lit(1), F.lit(2))))
     return each.select(
         T.meeting_key(F.col("c")).alias("id"),
@@ -101,7 +106,7 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
 NEW = T.key_sql(f"c + {2 * T.COPY}")
 TARGETS_SQL = (
     ARC
-    + f""", asked AS (SELECT c, id FROM meetings WHERE original_id IS NULL AND c % 2 = 0),
+    + f""", asked AS (SELECT c, id FROM meetings WHERE original_id IS NULL AND c IN (SELECT conv_id FROM conversations WHERE role = 'system')),
     targets AS (SELECT a.c, a.id, coalesce(m.edited_id, {NEW.replace('c +', 'a.c +')}) AS target, m.edited_id IS NULL AS fresh FROM asked a JOIN meetings m USING (id))
     """
 )
@@ -160,7 +165,7 @@ def named_speakers(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "renamed_meetings",
     ARC
-    + ", m2 AS (SELECT id, CASE WHEN original_id IS NULL AND c % 2 = 0 THEN 'renamed 2' ELSE name END AS name, original_id, edited_id FROM meetings) "
+    + ", m2 AS (SELECT id, CASE WHEN original_id IS NULL AND c IN (SELECT conv_id FROM conversations WHERE role = 'system') THEN 'renamed 2' ELSE name END AS name, original_id, edited_id FROM meetings) "
     + SUMMARY_SQL.format(meetings="m2", segs="segs", analyses="analyses"),
 )
 def renamed_meetings(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +175,7 @@ def renamed_meetings(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "deleted_meetings",
     ARC
-    + """, gone AS (SELECT id FROM meetings WHERE original_id IS NULL AND c % 2 = 0 UNION SELECT edited_id FROM meetings WHERE original_id IS NULL AND c % 2 = 0 AND edited_id IS NOT NULL),
+    + """, gone AS (SELECT id FROM meetings WHERE original_id IS NULL AND c IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION SELECT edited_id FROM meetings WHERE original_id IS NULL AND c IN (SELECT conv_id FROM conversations WHERE role = 'system') AND edited_id IS NOT NULL),
     m2 AS (SELECT * FROM meetings WHERE id NOT IN (SELECT id FROM gone)) """
     + SUMMARY_SQL.format(meetings="m2", segs="segs", analyses="analyses"),
 )
@@ -178,7 +183,7 @@ def deleted_meetings(spark: SparkSession, sf: str) -> DataFrame:
     return summary(R.delete_meetings(T.archive(spark, sf), edits(spark, sf)))
 
 
-REVERTED_SQL = """, gone AS (SELECT DISTINCT o.edited_id AS id FROM meetings o WHERE o.original_id IS NULL AND o.c % 2 = 0 AND o.edited_id IS NOT NULL),
+REVERTED_SQL = """, gone AS (SELECT DISTINCT o.edited_id AS id FROM meetings o WHERE o.original_id IS NULL AND o.c IN (SELECT conv_id FROM conversations WHERE role = 'system') AND o.edited_id IS NOT NULL),
     m2 AS (SELECT id, name, original_id, CASE WHEN edited_id IN (SELECT id FROM gone) THEN NULL ELSE edited_id END AS edited_id FROM meetings WHERE id NOT IN (SELECT id FROM gone)) """
 
 
@@ -191,7 +196,7 @@ def reverted_edits(spark: SparkSession, sf: str) -> DataFrame:
     "reanalyzed_meetings",
     ARC
     + REVERTED_SQL
-    + """, a3 AS (SELECT m.id AS meeting_id, CASE WHEN m.original_id IS NULL AND m.c % 2 = 0 THEN 'edit 2' ELSE a.markdown END AS markdown
+    + """, a3 AS (SELECT m.id AS meeting_id, CASE WHEN m.original_id IS NULL AND m.c IN (SELECT conv_id FROM conversations WHERE role = 'system') THEN 'edit 2' ELSE a.markdown END AS markdown
       FROM meetings m LEFT JOIN analyses a ON a.meeting_id = m.id) """
     + SUMMARY_SQL.format(meetings="m2", segs="segs", analyses="a3"),
 )
@@ -539,7 +544,7 @@ def distinct_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return corpus.text_corpus(T.read(spark, sf, "documents"), path, F.col("text"))
+    return corpus.text_corpus(widen(T.read(spark, sf, "documents").select("doc_id", "lang", "source", "text")), path, F.col("text"))
 
 
 CONTENT_SQL = rf"""WITH once AS (SELECT DISTINCT text FROM documents),

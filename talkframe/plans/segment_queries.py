@@ -10,6 +10,7 @@ from talkframe.operators import segments as S
 from talkframe.plans import tables as T
 from talkframe.plans.blocks import BLOCK_ROWS
 from talkframe.plans.registry import query
+from talkframe.session import cut
 from talkframe.sources.scripts import script_segments
 
 SEG = "WITH " + T.SEGMENTS_SQL
@@ -34,7 +35,7 @@ SELECT meeting_id, row_number() OVER w - 1 AS seg_idx, text,
 FROM kept WINDOW w AS (PARTITION BY meeting_id ORDER BY pos)""",
 )
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.read(spark, sf, "documents").select(F.col("doc_id").alias("meeting_id"), "text")
+    docs = T.texts(spark, sf).select(F.col("doc_id").alias("meeting_id"), "text")
     return script_segments(docs).select("meeting_id", "seg_idx", "text", "start", F.col("end").alias("finish"))
 
 
@@ -216,7 +217,7 @@ FROM named n LEFT JOIN turned t USING (meeting_id) GROUP BY n.meeting_id"""
 
 def flagged_echo(spark: SparkSession, sf: str) -> DataFrame:
     """Echoed segments after both repeat passes; repeats lose their speaker and count as overlap."""
-    flagged = S.flag_orphans(S.flag_repeats(T.echoed_segments(spark, sf)))
+    flagged = cut(S.flag_orphans(cut(S.flag_repeats(T.echoed_segments(spark, sf)))))
     return flagged.withColumn("speaker", F.when(~F.col("duplicate"), F.col("speaker"))).withColumn("overlap", F.col("duplicate"))
 
 
@@ -285,6 +286,6 @@ def decoding_windows(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({T.sql_words('text')}) AS word FROM documents) GROUP BY word""",
 )
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = T.read(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word"))
+    tokens = T.texts(spark, sf).select("doc_id", F.explode(X.words(F.col("text"))).alias("word"))
     per_doc = tokens.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("word").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkframe.functions import text as X
 from talkframe.operators.segments import MEETING
 from talkframe.plans.blocks import BLK, scan, with_block
+from talkframe.session import widen
 from talkframe.sources.scripts import spoken_centiseconds
 
 
@@ -18,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that costs much per row."""
+    return widen(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as timed segments: each turn lasts as long as its text takes to say."""
     turns = read(spark, sf_dir, "conversations").select(

@@ -60,13 +60,13 @@ def compare_sql(name: str, source: str, key: str, column: str) -> str:
 
 @query("match_forms", f"SELECT doc_id, md5({match_sql('text')}) AS form, length({match_sql('text')}) AS n FROM documents")
 def match_forms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.read(spark, sf, "documents").select("doc_id", X.match_form(F.col("text")).alias("f"))
+    docs = T.texts(spark, sf).select("doc_id", X.match_form(F.col("text")).alias("f"))
     return docs.select("doc_id", F.md5("f").alias("form"), F.length("f").cast("bigint").alias("n"))
 
 
 @query("compare_forms", "WITH " + compare_sql("c", "documents", "doc_id", "text") + " SELECT doc_id, md5(line) AS form, length(line) AS n FROM c")
 def compare_forms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.read(spark, sf, "documents").select("doc_id", X.compare_line(F.col("text")).alias("f"))
+    docs = T.texts(spark, sf).select("doc_id", X.compare_line(F.col("text")).alias("f"))
     return docs.select("doc_id", F.md5("f").alias("form"), F.length("f").cast("bigint").alias("n"))
 
 
@@ -75,7 +75,7 @@ SCENARIOS = 40
 
 def doc_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as runs of scenarios, each with the benchmark item of its scenario as reference."""
-    docs = T.read(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % SCENARIOS).alias("scenario"))
+    docs = T.texts(spark, sf).select("doc_id", "text", (F.col("doc_id") % SCENARIOS).alias("scenario"))
     refs = T.read(spark, sf, "benchmark").select(F.col("item_id").alias("scenario"), F.col("text").alias("reference"))
     return docs.join(refs, "scenario", "left")
 
@@ -157,7 +157,7 @@ def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("value_anchors")
 def value_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.read(spark, sf, "documents").select("doc_id", F.posexplode(E.value_anchors(F.col("text"))).alias("rank", "value"))
+    docs = T.texts(spark, sf).select("doc_id", F.posexplode(E.value_anchors(F.col("text"))).alias("rank", "value"))
     return docs
 
 
@@ -180,7 +180,7 @@ SENTENCES_SQL = rf"list_filter(list_transform(string_split_regex(regexp_replace(
 def request_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """The marker rule with markers that occur in these texts."""
     found = E.request_anchors(F.col("text"), ["qu", "tsch"], ["tsch", "enough"])
-    docs = T.read(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("rank", "anchor"))
+    docs = T.texts(spark, sf).select("doc_id", F.posexplode(found).alias("rank", "anchor"))
     return docs.select("doc_id", F.col("rank").cast("bigint").alias("rank"), F.md5("anchor").alias("anchor"))
 
 
@@ -199,7 +199,7 @@ def request_anchors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def grounded_values(spark: SparkSession, sf: str) -> DataFrame:
     """Claims made of a text's own words, one cut off, one in the wrong order, one label given twice."""
-    docs = T.read(spark, sf, "documents").select("doc_id", X.match_form(F.col("text")).alias("hay"))
+    docs = T.texts(spark, sf).select("doc_id", X.match_form(F.col("text")).alias("hay"))
     worded = docs.withColumn("t", F.split("hay", " "))
     first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
     end = F.size("t")
@@ -219,7 +219,7 @@ def grounded_values(spark: SparkSession, sf: str) -> DataFrame:
 def detected_values(spark: SparkSession, sf: str) -> DataFrame:
     """Digits claimed under one label, and the anchors of the text they leave uncovered."""
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]+"), F.lit(0)), lambda n: F.concat(F.lit("number: "), n))
-    docs = T.read(spark, sf, "documents").select("doc_id", "text").withColumn("items", numbers)
+    docs = T.texts(spark, sf).withColumn("items", numbers)
     return V.detect_values(docs).select("doc_id", F.posexplode("detected").alias("rank", "value"))
 
 
@@ -229,12 +229,12 @@ def detected_values(spark: SparkSession, sf: str) -> DataFrame:
 )
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     tokens = X.token_estimate(F.col("text"))
-    return T.read(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), (tokens + 4096 <= 8192).alias("fits"))
+    return T.texts(spark, sf).select("doc_id", tokens.alias("tokens"), (tokens + 4096 <= 8192).alias("fits"))
 
 
 @query("text_chunks")
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.read(spark, sf, "documents").select("doc_id", "text")
+    docs = T.texts(spark, sf)
     return C.chunk_rows(docs, 220, 40).select("doc_id", "chunk_idx", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
 
 
@@ -243,7 +243,7 @@ def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     rf"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '{T.SPACE_SQL}+-({T.SPACE_SQL}*[^{X.WHITE}])', chr(1) || '-\1', 'g'), chr(1)), lambda s: {T.sql_strip('s')}), lambda s: s <> '')) AS turns FROM documents""",
 )
 def turn_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return T.read(spark, sf, "documents").select("doc_id", F.size(X.split_turns(F.col("text"))).cast("bigint").alias("turns"))
+    return T.texts(spark, sf).select("doc_id", F.size(X.split_turns(F.col("text"))).cast("bigint").alias("turns"))
 
 
 @query(
@@ -251,7 +251,7 @@ def turn_splits(spark: SparkSession, sf: str) -> DataFrame:
     rf"""SELECT doc_id, len(list_filter(string_split_regex(text, '\r?\n'), lambda l: regexp_matches({T.sql_strip('l')}, '(?i)^(?:\[[^\]]+\]|(?:speaker|konuşmacı)[ _-]?[0-9]+|\p{{L}}[\p{{L}} .''-]{{0,40}}):{T.SPACE_SQL}+'))) > 0 AS labelled FROM documents""",
 )
 def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return T.read(spark, sf, "documents").select("doc_id", X.has_line_labels(F.col("text")).alias("labelled"))
+    return T.texts(spark, sf).select("doc_id", X.has_line_labels(F.col("text")).alias("labelled"))
 
 
 FIXES = {"und": "and", "the": "teh", "des": "der"}
@@ -266,7 +266,7 @@ FIXES = {"und": "and", "the": "teh", "des": "der"}
       WHEN 'des' THEN CASE WHEN left(w, 1) = 'D' THEN 'Der' ELSE 'der' END ELSE w END), '')) AS digest FROM parts""",
 )
 def corrected_words(spark: SparkSession, sf: str) -> DataFrame:
-    return T.read(spark, sf, "documents").select("doc_id", F.md5(X.correct_words(F.col("text"), FIXES)).alias("digest"))
+    return T.texts(spark, sf).select("doc_id", F.md5(X.correct_words(F.col("text"), FIXES)).alias("digest"))
 
 
 # --- drafts --------------------------------------------------------------------------------------
@@ -283,7 +283,7 @@ def raw_drafts(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("none").alias("unknown"),
         )
     )
-    return T.read(spark, sf, "documents").select("doc_id", "text", raw.alias("raw"))
+    return T.texts(spark, sf).select("doc_id", "text", raw.alias("raw"))
 
 
 CLEAN = (
@@ -341,7 +341,7 @@ def moved_actions(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses with an invented owner appended: they become next steps where lines carry no labels."""
     owned = F.transform(F.split("text", ", "), lambda s: F.concat(F.regexp_replace(s, r"[()]", ""), F.lit(" (Konuşmacı: X).")))
     raw = F.to_json(F.struct(owned.alias("actionItems")))
-    docs = T.read(spark, sf, "documents").select("doc_id", "text", raw.alias("raw")).withColumn("draft", A.coerce_draft(F.col("raw")))
+    docs = T.texts(spark, sf).select("doc_id", "text", raw.alias("raw")).withColumn("draft", A.coerce_draft(F.col("raw")))
     moved = docs.withColumn("draft", A.move_unlabeled_actions(F.col("draft"), F.col("text")))
     return moved.select("doc_id", F.size("draft.actionItems").alias("actions"), F.size("draft.nextSteps").alias("steps"))
 
@@ -349,6 +349,6 @@ def moved_actions(spark: SparkSession, sf: str) -> DataFrame:
 @query("analysis_job")
 def analysis_job(spark: SparkSession, sf: str) -> DataFrame:
     """All documents through the whole job with the extractive extractor."""
-    docs = T.read(spark, sf, "documents").select("doc_id", "text")
+    docs = T.texts(spark, sf)
     done = A.analyze(docs, A.extractive, A.AnalysisConfig(num_ctx=6144, chunk_tokens=900, concurrency=8))
     return done.select("doc_id", "status", F.size("draft.mainRequest").alias("requests"), F.size("draft.detectedValues").alias("values"))

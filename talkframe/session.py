@@ -56,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input that comes in fewer splits than there are cores, before costly work on its rows.
+
+    Large inputs have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def runs_in_tasks(module_name: str) -> None:
     """Send a module's functions to tasks by value, so that workers need not have it installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
