@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
 from talkframe.operators.speakers import name_changes, rename_segments, rename_texts
+from talkframe.session import cut
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ def create_copies(archive: Archive, copies: DataFrame) -> Archive:
 
 
 def _copied_where_needed(archive: Archive, opened: DataFrame) -> tuple[Archive, DataFrame]:
-    targets = edit_targets(archive, opened)
+    targets = cut(edit_targets(archive, opened))
     fresh = targets.filter("fresh").select("id", F.col("target").alias("new_id"))
     return create_copies(archive, fresh), targets.select("id", "target")
 
@@ -187,7 +188,7 @@ def rename_meetings(archive: Archive, names: DataFrame) -> Archive:
 
 def _without(archive: Archive, gone: DataFrame) -> Archive:
     """The archive without ``gone(id)``; links to what is gone are cut."""
-    ids = gone.select("id").distinct()
+    ids = cut(gone.select("id").distinct())
     kept = archive.meetings.join(ids, "id", "left_anti")
     cut_links = ids.select(F.col("id").alias("edited_id")).withColumn("_gone", F.lit(True))
     unlinked = kept.join(cut_links, "edited_id", "left").withColumn("edited_id", F.when(F.col("_gone").isNull(), F.col("edited_id")))

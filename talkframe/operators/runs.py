@@ -25,14 +25,13 @@ def config_id(model: Column, dtype: Column, mode: Column) -> Column:
     return F.when(given(model) & given(dtype) & given(mode), F.coalesce(named, slug))
 
 
-def task_matrix(configs: DataFrame, files: DataFrame) -> DataFrame:
-    """Every configuration with every file, static and live.
+def task_matrix(files: DataFrame, config_ids: list[str] | None = None) -> DataFrame:
+    """Every file with every configuration, static and live.
 
-    Both lists are small and given by hand; each file row carries the other list's rows, collected
-    into one array, so no cross join is planned.
+    Configurations are a short list given in code, so each file row carries it and nothing is joined.
     """
-    listed = configs.groupBy(F.lit(1).alias("_one")).agg(F.collect_set("config_id").alias("_configs"))
-    each = files.withColumn("_one", F.lit(1)).join(listed, "_one").withColumn("config_id", F.explode("_configs"))
+    ids = [c[0] for c in CONFIGS] if config_ids is None else config_ids
+    each = files.withColumn("config_id", F.explode(F.array(*[F.lit(i) for i in ids])))
     return each.select("config_id", "file", F.explode(F.array(F.lit("static"), F.lit("live"))).alias("recording_type"))
 
 

@@ -12,7 +12,7 @@ from talkframe.plans import tables as T
 from talkframe.plans.blocks import scan, with_block
 from talkframe.plans.registry import query
 from talkframe.plans.segment_queries import dialogue_sql
-from talkframe.session import widen
+from talkframe.session import cut, widen
 from talkframe.sources import corpus
 from talkframe.sources import runs as run_files
 from talkframe.sources.meetings import markdown_lines
@@ -220,9 +220,11 @@ def reanalyzed_meetings(spark: SparkSession, sf: str) -> DataFrame:
 def markdown_export(spark: SparkSession, sf: str) -> DataFrame:
     arc = T.archive(spark, sf)
     scopes = arc.meetings.select(F.col("id").alias("meeting_id"), F.lit("group").alias("meeting_scope"))
-    details = R.meeting_details(arc, scopes).select(F.col("id").alias("meeting_id"), "active", "name", "markdown", F.lit("").alias("text"), "speakers_degraded")
+    details = cut(
+        R.meeting_details(arc, scopes).select(F.col("id").alias("meeting_id"), "active", "name", "markdown", F.lit("").alias("text"), "speakers_degraded")
+    )
     printed = segments.line_text(segments.transcript_lines(arc.segments)).withColumnRenamed("meeting_id", "active")
-    lines = printed.join(details.select("active", "meeting_id"), "active")
+    lines = cut(printed.join(details.select("active", "meeting_id"), "active"))
     documents = markdown_lines(details, lines)
     return documents.withColumn("line", F.md5("line"))
 
@@ -439,12 +441,11 @@ def promotions(spark: SparkSession, sf: str) -> DataFrame:
     SELECT * FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.config_id = t.config_id AND r.scenario = t.file AND r.recording_type = t.recording_type AND r.wer IS NOT NULL)""",
 )
 def pending_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    configs = run_rows(spark, sf).select("config_id").distinct()
     files = T.read(spark, sf, "orders").select(F.format_string("S%d", F.col("o_custkey") % 17).alias("file")).distinct()
     outputs = run_rows(spark, sf).select(
         "config_id", "scenario", "recording_type", F.lit("").alias("text"), F.array().alias("segments"), F.when(F.col("wer").isNotNull(), F.struct("wer")).alias("metrics")
     )
-    return runs.pending_tasks(runs.task_matrix(configs, files), outputs)
+    return runs.pending_tasks(runs.task_matrix(files), outputs)
 
 
 @query("run_sizes", RUNS_SQL + "SELECT run_id, CAST(sum(length) AS BIGINT) AS bytes, max(modified) AS newest FROM runs GROUP BY ALL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkframe.operators import align, sides, signal, voices
 from talkframe.plans import tables as T
 from talkframe.plans.registry import query
+from talkframe.session import cut
 
 ALIGN_SQL = (
     "WITH "
@@ -290,7 +291,8 @@ def nearest_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
-    return voices.assign_frames(T.regions(spark, sf), T.usable_windows(spark, sf), T.durations(spark, sf))
+    """Labelled frames, which most queries below read more than once."""
+    return cut(voices.assign_frames(T.regions(spark, sf), T.usable_windows(spark, sf), T.durations(spark, sf)))
 
 
 @query("assigned_frames", VOICES_SQL + "SELECT meeting_id, frame, label FROM assigned")
@@ -310,7 +312,7 @@ def voice_turns(spark: SparkSession, sf: str) -> DataFrame:
     SELECT meeting_id, CAST(lo AS DOUBLE) / 20 AS start, CAST(hi AS DOUBLE) / 20 AS finish, 'SPEAKER_' || lpad(CAST(r AS VARCHAR), 2, '0') AS speaker FROM turns JOIN firsts USING (meeting_id, label)""",
 )
 def named_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return voices.name_speakers(voices.frames_to_turns(assigned(spark, sf))).withColumnRenamed("end", "finish")
+    return voices.name_speakers(cut(voices.frames_to_turns(assigned(spark, sf)))).withColumnRenamed("end", "finish")
 
 
 @query(
@@ -399,7 +401,7 @@ def speaker_changes(spark: SparkSession, sf: str) -> DataFrame:
 def refined_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames after windows near each change have voted by likeness to the two speakers' centroids."""
     frames = assigned(spark, sf)
-    changes = voices.speaker_changes(frames, T.regions(spark, sf))
+    changes = cut(voices.speaker_changes(frames, T.regions(spark, sf)))
     middle = voices.centroids(T.usable_windows(spark, sf))
     near = changes.withColumn("w_idx", F.explode(F.sequence(F.greatest(F.floor(F.col("low") / 15) - 1, F.lit(0)), F.floor(F.col("high") / 15))))
     unit = T.usable_windows(spark, sf).select("meeting_id", "w_idx", "mask_start", F.posexplode("embedding").alias("dim", "e"))

@@ -29,13 +29,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_fallback: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints; a temporary one only where none is set."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="talkframe-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path.rstrip("/")
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="talkframe-"))
+    return _fallback[0]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
+from talkframe.operators.quality import summary_lines
 from talkframe.operators.runs import config_id
 from talkframe.sources.meetings import SEGMENT_TYPE
 
@@ -102,3 +103,11 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return parse_registry(spark.createDataFrame([], "value string"))
     return parse_registry(spark.read.text(path))
+
+
+def write_summary(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Metric rows as a table and as printed lines, in the order of configuration and scenario."""
+    metrics.write.mode(mode).parquet(f"{path}/metrics")
+    keys = ["config_id", "recording_type", "scenario"]
+    lines = summary_lines(metrics).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    lines.select(F.col("line").alias("value")).write.mode(mode).text(f"{path}/summary")

@@ -171,6 +171,11 @@ def _session_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
             break
         terminal = None
         before = now
+        if e.event == "chunk":
+            # Sound that arrives while nothing records is dropped.
+            if now == "recording":
+                rows.append((key[0], e.seq, e.event, now, None))
+            continue
         if e.event == "cancel":
             cancelled = cancelled or now in WORKING
         elif e.event in ("finalized", "failed") and now in WORKING:
@@ -188,7 +193,10 @@ def _session_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
 
 
 def session_states(events: DataFrame) -> DataFrame:
-    """State changes of a stream of control events: ``(meeting_id, seq, event, state, terminal)``."""
+    """State changes of a stream of control events: ``(meeting_id, seq, event, state, terminal)``.
+
+    Chunks may stand among the events; those that arrive while the session records come out too.
+    """
     keyed = events.select("meeting_id", "seq", "event").groupBy("meeting_id")
     return keyed.applyInPandasWithState(_session_events, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -202,6 +202,16 @@ def test_metric_rows(spark, segs):
     assert (blank.wer, blank.rtf, blank.reference_path, blank.invented_sentences, blank.recall) == (None, None, None, None, 0.0)
 
 
+def test_write_summary(spark, tmp_path):
+    columns = "config_id string, recording_type string, scenario string, wer double, found bigint, total bigint, duplicate_flags bigint, overlap_flags bigint, invented_sentences bigint, rtf double, peak_rss_mb double, disk_mb double"
+    rows = spark.createDataFrame([("B", "live", "S1", None, 1, 2, 0, 0, None, None, 10.5, 1.0), ("A", "static", "S1", 0.25, 2, 2, 1, 0, 3, 0.456, 10.5, 1.0)], columns)
+    run_files.write_summary(rows, str(tmp_path / "s"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "s/summary")).orderBy("value").collect()] == [
+        "| A | static:S1 | 0.25 | 2/2 | 1 | 0 | 3 | 0.46 | 10.5 | 1.0 |",
+        "| B | live:S1 | n/a | 1/2 | 0 | 0 | n/a | n/a | 10.5 | 1.0 |",
+    ]
+
+
 # --- private data --------------------------------------------------------------------------------
 
 

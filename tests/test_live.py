@@ -63,7 +63,7 @@ def test_stream_equals_replay(spark, tmp_path):
 
 EVENTS = "meeting_id string, seq bigint, event string"
 SESSIONS = {
-    "plain": (["start", "pause", "resume", "stop", "analyze", "finalized"], "result"),
+    "plain": (["chunk", "start", "chunk", "pause", "chunk", "resume", "chunk", "stop", "chunk", "analyze", "finalized"], "result"),
     "cancelled": (["start", "stop", "cancel", "finalized", "finalized"], "cancelled"),
     "cancelled late": (["start", "stop", "analyze", "cancel", "failed"], "cancelled"),
     "too early": (["start", "cancel", "stop", "finalized"], "result"),
@@ -79,7 +79,8 @@ def test_sessions_end_once(spark, tmp_path):
     assert ended == {m: t for m, (_, t) in SESSIONS.items() if t}
     assert got.filter("terminal is not null").count() == len(ended)
     assert {r.meeting_id: r.terminal for r in live.one_terminal(got).collect()} == ended
-    plain = [r.state for r in got.filter("meeting_id = 'plain'").orderBy("seq").collect()]
+    plain = [r.state for r in got.filter("meeting_id = 'plain' and event <> 'chunk'").orderBy("seq").collect()]
+    assert sorted(r.seq for r in got.filter("event = 'chunk'").collect()) == [2, 6]
     assert plain == ["recording", "paused", "recording", "finalizing", "analyzing", "done"]
 
 
