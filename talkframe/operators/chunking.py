@@ -90,4 +90,6 @@ def chunk_rows(docs: DataFrame, max_tokens: int, overlap_tokens: int, chars_per_
     """One row per chunk: the other columns, ``chunk_idx``, ``n_chunks`` and ``chunk``."""
     others = [c for c in docs.columns if c != text]
     cut_up = docs.select(*others, chunk_array(F.col(text), max_tokens, overlap_tokens, chars_per_token).alias("_c"))
-    return cut_up.select(*others, F.size("_c").alias("n_chunks"), F.posexplode("_c").alias("chunk_idx", "chunk"))
+    # The outer form keeps Spark from testing the array for emptiness, which would cut every text again.
+    each = cut_up.select(*others, F.size("_c").alias("n_chunks"), F.posexplode_outer("_c").alias("chunk_idx", "chunk"))
+    return each.filter(F.col("chunk").isNotNull())

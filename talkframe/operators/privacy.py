@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.sources.corpus import readings, utf8_only  # noqa: F401
+from talkframe.sources.corpus import readings
 
 # What is private in a path.
 PRIVATE_ROOTS = ["meeting_recordings/", "output/", "temp/", "test_media/"]

@@ -127,7 +127,6 @@ def speaker_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     return S.dialogue(T.segments(spark, sf))
 
 
-HAS_SIDE = "max(source IS NOT NULL) OVER (PARTITION BY meeting_id)"
 SIDE_SQL = (
     "CASE WHEN max(CASE WHEN source IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id) = 0 THEN NULL "
     "WHEN source = 'local' THEN 'Yerel Konuşmacı' WHEN source = 'remote' THEN 'Uzak Konuşmacı' ELSE 'Belirsiz' END"
