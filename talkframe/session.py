@@ -33,10 +33,16 @@ _fallback: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a temporary one only where none is set."""
+    """The cluster's shared folder for checkpoints.
+
+    Only a local session, whose driver and tasks share one machine, may leave it unset.
+    """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="talkframe-"))
     return _fallback[0]
