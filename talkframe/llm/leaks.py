@@ -169,5 +169,6 @@ def leaked(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without those that hold a passage of the benchmark."""
-    found = matches(docs, benchmark, least).select(F.col("key").alias("_leak")).distinct()
-    return docs.withColumn("_key", text_key(F.col("text"))).join(found, F.col("_key") == F.col("_leak"), "left_anti").select(*docs.columns)
+    found = matches(docs, benchmark, least).select(F.col("key").alias("leak")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("own"))
+    return keyed.join(found, F.col("own") == F.col("leak"), "left_anti").select("row.*")

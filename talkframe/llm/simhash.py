@@ -117,6 +117,7 @@ def split_hot(hot: DataFrame) -> DataFrame:
 def linked(fps: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Stars that join the members of one anchor which are within three bits of one at home."""
     root = np.arange(len(fps))
+    bits = np.ascontiguousarray(fps).view(np.uint64)  # bits of a signed number are counted without its sign
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -126,7 +127,7 @@ def linked(fps: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
     for h in np.flatnonzero(home):
         for start in range(0, len(fps), 1 << 20):
-            near = np.flatnonzero(np.bitwise_count(fps[start : start + (1 << 20)] ^ fps[h]) <= MOST_BITS) + start
+            near = np.flatnonzero(np.bitwise_count(bits[start : start + (1 << 20)] ^ bits[h]) <= MOST_BITS) + start
             near = near[root[near] != root[h]]
             for n in near:
                 a, b = top(n), top(h)
@@ -223,8 +224,8 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def one_of_each(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents, one of each component: the first by id, then by a hash of the text. Repeated rows count as one."""
     _, groups = near_groups(docs, hot)
-    chosen = groups.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy(F.lit(0)))
-    return kept.withColumn("_n", once).where("_n = 1").select(*docs.columns)
+    chosen = groups.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
+    kept = keyed.join(chosen, F.col("own").eqNullSafe(F.col("id")) & (F.col("same") == F.col("key")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("own", "same").orderBy(F.lit(0)))
+    return kept.withColumn("n", once).where("n = 1").select("row.*")

@@ -34,6 +34,9 @@ THRESHOLD = 0.3
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 16.0, 1.0
 
+#: Log odds where there is nothing to learn from.
+PRIOR = -4.0
+
 PRIME = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 CHUNK = 1 << 21
@@ -142,7 +145,7 @@ def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.searchsorted(owner, np.arange(first, until + 1))
         examples += [(index[edges[i] : edges[i + 1]], int(labels[first + i])) for i in range(until - first)]
         first = until
-    index, weights, bias = fitted(examples) if len(set(labels)) > 1 else (np.zeros(0, int), np.zeros(0), -4.0 if set(labels) <= {0} else 4.0)
+    index, weights, bias = fitted(examples) if len(set(labels)) > 1 else (np.zeros(0, int), np.zeros(0), PRIOR if set(labels) <= {0} else -PRIOR)
     yield pd.DataFrame({"indices": [index.astype(np.int32)], "weights": [weights], "bias": [bias]})
 
 
@@ -153,6 +156,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     chosen = bounded_sample(known, "label", "doc_id", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").coalesce(1).mapInPandas(train, MODEL)
     row = rows.first()
+    if row is None:
+        return np.zeros(0, np.int64), np.zeros(0), PRIOR
     # the sample holds label 1 more often than the table does
     odds = [counts.get(k, 0) / max(1, min(sample, counts.get(k, 0))) for k in (0, 1)]
     shift = float(np.log(odds[1] / odds[0])) if min(odds) > 0 else 0.0
@@ -190,4 +195,4 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def civil(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not predicted to be toxic."""
     score = scorer(learn(docs, labels))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") < threshold).select(*docs.columns)
+    return docs.select(F.struct(*docs.columns).alias("row"), score("text").alias("score")).where(F.col("score") < threshold).select("row.*")
