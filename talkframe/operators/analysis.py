@@ -265,19 +265,20 @@ def _answer(asked: DataFrame, keys: list[str]) -> DataFrame:
     return asked.select(*keys, coerce_draft(F.col("raw")).alias("draft"), "error")
 
 
-def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: AnalysisConfig, max_rounds: int = 32) -> DataFrame:
+def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: AnalysisConfig) -> DataFrame:
     """Merge the partial drafts ``(doc_id, draft_idx, draft, error)`` of each document into one.
 
     A document is done when all its drafts fit one call together with its anchors. Until then
     neighbours are merged group by group; a lone draft passes through. Where no two drafts fit
-    together one larger call ends it. Only the size of each draft is gathered per document; the
+    together one larger call ends it. Every round merges a pair of each open document, so the
+    rounds end. Only the size of each draft is gathered per document; the
     drafts of a group meet in the task that merges them, which the budget bounds.
     """
     anchors = docs.select("doc_id", anchor_block(F.col("requests"), F.col("values")).alias("_anchors"))
     base = len(config.merge_intro) + 2 + 60
     finished: list[DataFrame] = []
     current = cut(drafts.withColumn("markdown", serialize_draft(F.col("draft"))))
-    for _ in range(max_rounds):
+    while True:
         cost = (F.length("markdown") + 22).cast("bigint")
         sizes = current.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("draft_idx", cost.alias("cost")))).alias("_s"))
         grouped = sizes.join(anchors, "doc_id").select(
@@ -324,9 +325,10 @@ def analyze(docs: DataFrame, fn: Extractor, config: AnalysisConfig | None = None
     """Analyses of ``docs(doc_id, text)``: ``(doc_id, status, draft, markdown, error)``.
 
     Texts that fit one call take one; longer ones are cut, extracted part by part and merged. A
-    failed call leaves its document with an error and without an analysis.
+    failed call leaves its document with an error and without an analysis. A null text counts as empty.
     """
     config = config or AnalysisConfig()
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     planned = cut(plan(docs, config))
     single = planned.filter(F.col("single_pass")).select("doc_id", "prompt").repartition(config.concurrency, "doc_id")
     direct = _answer(ask(single, fn, config.system, config.retries, config.backoff_s), ["doc_id"])

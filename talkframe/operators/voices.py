@@ -131,7 +131,7 @@ def centroids(windows: DataFrame) -> DataFrame:
     return unit.groupBy("meeting_id", "label", "dim").agg(F.avg(F.col("_x").cast("double") / F.col("_n")).alias("x"))
 
 
-def fold_marginal(regions: DataFrame, windows: DataFrame, durations: DataFrame, max_labels: int = 64) -> DataFrame:
+def fold_marginal(regions: DataFrame, windows: DataFrame, durations: DataFrame) -> DataFrame:
     """Windows after speakers with under five seconds have joined their nearest neighbour.
 
     Each round every meeting gives up at most its weakest speaker, so the loop is as long as the
@@ -140,13 +140,12 @@ def fold_marginal(regions: DataFrame, windows: DataFrame, durations: DataFrame,
     """
     current = cut(windows)
     speech = cut(speech_frames(regions, durations))
-    for _ in range(max_labels):
+    while True:
         merge = cut(_weakest_merge(speech, current))
         if merge.isEmpty():
             return current
         moved = current.join(merge, ["meeting_id", "label"], "left")
         current = cut(moved.withColumn("label", F.coalesce("_into", "label")).select(*windows.columns))
-    return current
 
 
 def _weakest_merge(speech: DataFrame, windows: DataFrame) -> DataFrame:

@@ -70,12 +70,14 @@ def compare_forms(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.md5("f").alias("form"), F.length("f").cast("bigint").alias("n"))
 
 
-SCENARIOS = 40
+SCENARIOS = "(SELECT count(*) FROM benchmark)"
+"""As many scenarios as the benchmark has items."""
 
 
 def doc_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as runs of scenarios, each with the benchmark item of its scenario as reference."""
-    docs = T.texts(spark, sf).select("doc_id", "text", (F.col("doc_id") % SCENARIOS).alias("scenario"))
+    items = T.read(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
+    docs = T.texts(spark, sf).select("doc_id", "text", (F.col("doc_id") % items).alias("scenario"))
     refs = T.read(spark, sf, "benchmark").select(F.col("item_id").alias("scenario"), F.col("text").alias("reference"))
     return docs.join(refs, "scenario", "left")
 
