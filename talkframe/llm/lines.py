@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm.common import let
 from talkframe.session import cut, runs_in_tasks
 
 runs_in_tasks(__name__)
@@ -130,18 +130,37 @@ def change_filter(key: tuple, old: pd.DataFrame, changes: pd.DataFrame) -> pd.Da
     return filter_row(key[0], count if fits else -1, made)
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(BLANKS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def keys_of(text: str | None, shortest: int) -> list[tuple[int, int]]:
+    """128 bits of the key of every long line of a text, as two signed numbers.
 
+    The key is the line without blanks at its ends, A-Z in lower case; bytes.strip() and
+    bytes.lower() do exactly that.
+    """
+    found = []
+    for line in (text or "").split("\n"):
+        if len(line) >= shortest and len(line := line.strip(BLANKS)) >= shortest:
+            found.append(key_hash(line))
+    return found
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
+def key_hash(line: str) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass").lower())
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
-def line_hashes(lines: Column, shortest: int) -> Column:
-    """128 bits of every line's key, null for short lines."""
-    return F.transform(lines, lambda x: let(line_key(x), lambda k: F.when(F.length(k) >= shortest, F.struct(F.xxhash64(k).alias("hi"), F.xxhash64(k, F.lit(7)).alias("lo")))))
+
+def pairs(flat: Column) -> Column:
+    """Numbers that alternate between upper and lower halves, as pairs."""
+    return F.transform(F.sequence(F.lit(1), (F.size(flat) / 2).cast("int")), lambda i: F.struct(F.get(flat, (2 * i - 2).cast("int")).alias("hi"), F.get(flat, (2 * i - 1).cast("int")).alias("lo")))
+
+
+def long_lines(text: Column, shortest: int) -> Column:
+    """The keys of a text's long lines, halves alternating."""
+
+    @F.pandas_udf("array<bigint>")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(keys_of(t, shortest), np.int64).ravel() for t in texts])
+
+    return made(text)
 
 
 @dataclass
@@ -159,8 +178,8 @@ class LineIndex:
 
     @staticmethod
     def references(docs: DataFrame, shortest: int) -> DataFrame:
-        keys = F.filter(line_hashes(split_lines(F.col("text")), shortest), lambda k: k.isNotNull())
-        return docs.select("doc_id", F.explode(keys).alias("k")).groupBy("k.hi", "k.lo", "doc_id").agg(F.count(F.lit(1)).alias("lines"))
+        keys = docs.select("doc_id", long_lines(F.col("text"), shortest).alias("_flat")).where(F.size("_flat") > 0)
+        return keys.select("doc_id", F.explode(pairs(F.col("_flat"))).alias("k")).groupBy("k.hi", "k.lo", "doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         both = self.refs.unionByName(self.references(docs, self.shortest)).groupBy("hi", "lo", "doc_id").agg(F.sum("lines").alias("lines"))
@@ -200,56 +219,61 @@ def changed_filters(old: DataFrame, before: DataFrame, after: DataFrame) -> Data
     return old.join(touched, "shard", "left_anti").unionByName(new.where("keys >= 0")).unionByName(filters(after.join(full, "shard", "left_semi")))
 
 
-def probe(filter_rows: list, shards: int):
-    """Column function: positions of a document's keys that the filters know."""
-    sent = {r["shard"]: Cuckoo(r["buckets"], np.frombuffer(r["cells"], np.uint16).reshape(-1, SLOTS)) for r in filter_rows}
+def probe(text: Column, filter_rows: list | None, shortest: int, shards: int) -> Column:
+    """A text's distinct keys that the filters know, halves alternating; without filters all of them."""
 
-    @F.pandas_udf("array<int>")
-    def known(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hi, lo in batches:
-            sizes = np.array([len(x) for x in hi], dtype=np.int64)
-            flat_hi = np.concatenate([*hi, np.zeros(0, np.int64)]).astype(np.int64)
-            flat_lo = np.concatenate([*lo, np.zeros(0, np.int64)]).astype(np.int64)
-            found = np.zeros(len(flat_hi), bool)
-            shard = flat_hi % shards
+    @F.pandas_udf("array<bigint>")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sent = {r["shard"]: Cuckoo(r["buckets"], np.frombuffer(r["cells"], np.uint16).reshape(-1, SLOTS)) for r in filter_rows or []}
+        for texts in batches:
+            each = [list(dict.fromkeys(keys_of(t, shortest))) for t in texts]
+            flat = np.array([k for keys in each for k in keys], np.int64).reshape(-1, 2)
+            found = np.full(len(flat), filter_rows is None)
+            shard = flat[:, 0] % shards
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 if s in sent:
                     at = order[edges[s] : edges[s + 1]]
-                    found[at] = sent[s].contains(flat_hi[at], flat_lo[at])
-            ends = np.cumsum(sizes)
-            yield pd.Series([np.flatnonzero(found[e - n : e]).astype(np.int32) for e, n in zip(ends, sizes)])
+                    found[at] = sent[s].contains(flat[at, 0], flat[at, 1])
+            ends = np.cumsum([len(keys) for keys in each]).astype(int)
+            yield pd.Series([flat[e - len(keys) : e][found[e - len(keys) : e]].ravel() for e, keys in zip(ends, each)])
+
+    return known(text)
 
-    return known
+
+def shortened(text: Column, drops: Column, shortest: int) -> Column:
+    """(n, kept): a text's number of lines, and the text without the lines whose keys are given."""
+
+    @F.pandas_udf("n bigint, dropped bigint, kept string")
+    def made(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, flat in zip(texts, gone):
+            held = (text or "").split("\n")
+            kept = held
+            if flat is not None and len(flat):
+                keys = set(zip(flat[::2].tolist(), flat[1::2].tolist()))
+                kept = [x for x in held if len(x) < shortest or len(k := x.strip(BLANKS)) < shortest or key_hash(k) not in keys]
+            rows.append((len(held), len(held) - len(kept), "\n".join(kept)))
+        return pd.DataFrame(rows, columns=["n", "dropped", "kept"])
+
+    return made(text, drops)
 
 
 def without_repeats(docs: DataFrame, index: LineIndex, most_filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): every document without its blocked lines, one row per row of ``docs``."""
     blocked = cut(index.blocked())
     made = cut(filters(blocked))
+    small = (made.agg(F.sum(F.length("cells"))).first()[0] or 0) <= most_filter_bytes
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
-    keys = F.filter(line_hashes(split_lines(F.col("text")), index.shortest), lambda k: k.isNotNull())
-    rows = rows.withColumn("_keys", keys)
-    if (made.agg(F.sum(F.length("cells"))).first()[0] or 0) <= most_filter_bytes:
-        known = probe(made.collect(), index.shards)
-        hits = known(F.transform("_keys", lambda k: k["hi"]), F.transform("_keys", lambda k: k["lo"]))
-        rows = rows.withColumn("_hits", F.transform(hits, lambda i: F.get(F.col("_keys"), i)))
-    else:
-        rows = rows.withColumn("_hits", F.col("_keys"))
+    rows = rows.withColumn("_hits", probe(F.col("text"), made.collect() if small else None, index.shortest, index.shards))
     some = F.size("_hits") > 0
-    clean = rows.where(~some).select("doc_id", "text", F.array().cast("array<struct<hi:bigint,lo:bigint>>").alias("_drops"))
+    nothing = F.array().cast("array<bigint>")
+    clean = rows.where(~some).select("doc_id", "text", nothing.alias("_drops"))
     dirty = rows.where(some)
-    asked = dirty.select("doc_id", "_row", F.explode(F.array_distinct("_hits")).alias("k")).select("doc_id", "_row", "k.hi", "k.lo")
+    asked = dirty.select("doc_id", "_row", F.explode(pairs(F.col("_hits"))).alias("k")).select("doc_id", "_row", "k.hi", "k.lo")
     asked = asked.join(blocked.select("hi", "lo", "keeper"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = asked.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_same")).agg(F.collect_set(F.struct("hi", "lo")).alias("_drops"))
-    dirty = dirty.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_same")), "left").select("doc_id", "text", F.coalesce("_drops", F.array().cast("array<struct<hi:bigint,lo:bigint>>")).alias("_drops"))
-
-    def kept(lines: Column) -> Column:
-        def shorter() -> Column:
-            return let(line_hashes(lines, index.shortest), lambda h: F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("_drops"), F.get(h, i)), F.lit(False))))
-
-        return F.struct(F.size(lines).cast("bigint").alias("n"), F.when(F.size("_drops") > 0, shorter()).otherwise(lines).alias("lines"))
-
-    done = clean.union(dirty).select("doc_id", let(split_lines(F.col("text")), kept).alias("_x"))
-    return done.select("doc_id", F.col("_x.n").alias("n_lines"), (F.col("_x.n") - F.size("_x.lines")).alias("n_dropped"), F.array_join("_x.lines", "\n").alias("kept"))
+    drops = asked.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_same")).agg(F.flatten(F.collect_set(F.array("hi", "lo"))).alias("_drops"))
+    dirty = dirty.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_same")), "left").select("doc_id", "text", F.coalesce("_drops", nothing).alias("_drops"))
+    done = clean.union(dirty).select("doc_id", shortened(F.col("text"), F.col("_drops"), index.shortest).alias("_x"))
+    return done.select("doc_id", F.col("_x.n").alias("n_lines"), F.col("_x.dropped").alias("n_dropped"), F.col("_x.kept").alias("kept"))
