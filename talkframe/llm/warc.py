@@ -87,8 +87,11 @@ def as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def learn_dictionary(pages: DataFrame) -> bytes:
-    """From the records with the smallest hashes of id and url."""
-    rows = pages.orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
+    """From the records with the smallest hashes of id and url. Only their names are sorted, then their pages fetched."""
+    named = pages.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"))
+    chosen = named.orderBy(F.xxhash64("_id", "_url"), "_id").limit(SAMPLE).distinct()
+    rows = pages.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")), "left_semi").limit(SAMPLE)
+    rows = rows.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
     return dictionary([page_record(r["page_id"], r["url"], r["html"], "0" * 64, len(r["html"]), None) for r in rows.collect()])
 
 
