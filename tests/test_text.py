@@ -304,6 +304,12 @@ def test_analysis_job(spark):
         assert (out["bad"].status, out["bad"].error, out["bad"].markdown) == ("failed", "no such model", None)
 
 
+def test_null_text_keeps_its_analysis(spark):
+    docs = spark.createDataFrame([("none", None), ("some", "Rapor hazır.")], "doc_id string, text string")
+    out = A.analyze(docs, fake, A.AnalysisConfig(retries=0)).collect()
+    assert {r.doc_id for r in out} == {"none", "some"}
+
+
 def test_retry():
     calls = []
 
