@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkframe.plans import tables as T
 from talkframe.plans.registry import query
-from talkframe.session import cut, run_folder
+from talkframe.session import run_folder
 from talkframe.sources.scripts import spoken_centiseconds
 from talkframe.streaming import live
 
@@ -39,15 +39,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(stops)
 
 
-def hand_over(df: DataFrame, order: str, folder: str) -> str:
-    """Store rows step by step, so that a file stream reads them in order.
-
-    A step's files are as many as its size asks for.
-    """
-    kept = cut(df)
-    steps = [r[0] for r in kept.select(order).distinct().orderBy(order).collect()]
-    for i, step in enumerate(steps):
-        kept.filter(F.col(order) == step).hint("rebalance").write.mode("overwrite").parquet(f"{folder}/step-{i:06d}")
+def hand_over(df: DataFrame, step: str, folder: str) -> str:
+    """Store rows for a file stream, a step apart from the next; files come in any order."""
+    df.withColumn("step", F.col(step)).hint("rebalance", "step").write.partitionBy("step").parquet(folder)
     return f"{folder}/*"
 
 
@@ -96,10 +90,10 @@ def live_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("live_stream", LIVE_FLAGS_SQL.replace("t.i AS seg_idx", "row_number() OVER (PARTITION BY t.meeting_id, t.round ORDER BY t.i) - 1 AS seg_in_round"))
 def live_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same flags from the stream itself, which reads one turn of every meeting per round."""
+    """The same flags from the stream itself, whose files bring the turns in any order."""
     folder = run_folder(spark, "live")
     source = hand_over(chunks(spark, sf), "seq", f"{folder}/chunks")
-    live.run_to_end(live.live_segments(live.read_chunks(spark, source)), f"{folder}/out", f"{folder}/checkpoint")
+    live.run_to_end(live.live_segments(live.read_chunks(spark, source), coalesce=False), f"{folder}/out", f"{folder}/checkpoint")
     out = spark.read.parquet(f"{folder}/out")
     return out.select("meeting_id", F.col("round").cast("int").alias("round"), F.col("seg_in_round").cast("bigint").alias("seg_in_round"), "duplicate")
 
@@ -109,9 +103,11 @@ EVENT_SQL = """CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'paus
 
 
 def control_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each user as a session's control events, numbered from 0 as a client numbers them."""
+    at = Window.partitionBy("user_id").orderBy("event_id")
     return T.read(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("meeting_id"), F.col("event_id").alias("seq"), F.col("ts").alias("event_time"), F.expr(EVENT_SQL).alias("event"),
-        F.date_trunc("week", "ts").alias("week"),
+        F.col("user_id").cast("string").alias("meeting_id"), (F.row_number().over(at) - 1).cast("bigint").alias("seq"), "event_id", F.col("ts").alias("event_time"),
+        F.expr(EVENT_SQL).alias("event"), F.floor(F.col("value") * 400).alias("n_samples"), F.trunc("ts", "week").alias("week"),
     )
 
 
@@ -132,12 +128,13 @@ def control_events(spark: SparkSession, sf: str) -> DataFrame:
     SELECT meeting_id, seq, event, state, terminal FROM st WHERE n > 0 AND (state <> prev OR terminal IS NOT NULL)""",
 )
 def session_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Control events of every user, a week of them per round."""
-    folder = run_folder(spark, "sessions")
-    source = hand_over(control_events(spark, sf), "week", f"{folder}/events")
+    """Control events of every user, stored by weeks that arrive in any order."""
+    folder, events = run_folder(spark, "sessions"), control_events(spark, sf)
+    source = hand_over(events, "week", f"{folder}/events")
     stream = spark.readStream.schema(live.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     live.run_to_end(live.session_states(stream), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").select("meeting_id", "seq", "event", "state", "terminal")
+    states = spark.read.parquet(f"{folder}/out").join(events.select("meeting_id", "seq", "event_id"), ["meeting_id", "seq"])
+    return states.select("meeting_id", F.col("event_id").alias("seq"), "event", "state", "terminal")
 
 
 @query(
@@ -153,14 +150,25 @@ def idle_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return closed.select("meeting_id", plain("first"), plain("last"), "rows")
 
 
-@query("emitted_slices")
+@query(
+    "emitted_slices",
+    f"""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, {EVENT_SQL} AS event, CAST(floor(value * 400) AS BIGINT) AS n,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+    st AS (
+      SELECT DISTINCT meeting_id, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS slice, CAST(-1 AS BIGINT) AS first_seq, CAST(0 AS BIGINT) AS held, false AS paused, false AS sent FROM ev
+      UNION ALL
+      SELECT meeting_id, seq, CASE WHEN was_sent THEN slice + 1 ELSE slice END, CASE WHEN before > 0 THEN first_seq WHEN held > 0 THEN seq ELSE -1 END, held, paused,
+        held > 0 AND (cuts OR held >= 128000)
+      FROM (SELECT e.meeting_id, e.seq, s.slice, s.sent AS was_sent, s.first_seq, e.event IN ('pause', 'stop') AS cuts, CASE WHEN s.sent THEN 0 ELSE s.held END AS before,
+          CASE WHEN s.sent THEN 0 ELSE s.held END + CASE WHEN e.event NOT IN ('pause', 'stop', 'resume') AND NOT s.paused AND e.n > 0 THEN e.n ELSE 0 END AS held,
+          e.event IN ('pause', 'stop') OR (s.paused AND e.event <> 'resume') AS paused
+        FROM st s JOIN ev e ON e.meeting_id = s.meeting_id AND e.seq = s.seq + 1))
+    SELECT meeting_id, CAST(slice AS INT) AS slice, first_seq, seq AS last_seq, held AS n_samples FROM st WHERE sent""",
+)
 def emitted_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Events as captured blocks of a user, gathered into slices by the stream."""
     folder = run_folder(spark, "slices")
-    blocks = control_events(spark, sf).join(
-        T.read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.floor(F.col("value") * 400).alias("n_samples")), "seq"
-    )
-    source = hand_over(blocks, "week", f"{folder}/blocks")
+    source = hand_over(control_events(spark, sf), "week", f"{folder}/blocks")
     stream = spark.readStream.schema("meeting_id string, seq bigint, event string, n_samples bigint").option("maxFilesPerTrigger", 1).parquet(source)
     live.run_to_end(live.emission_slices(stream), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").drop("batch")

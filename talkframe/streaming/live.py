@@ -25,6 +25,7 @@ FIRST_ROUND_SAMPLES = 20 * SAMPLE_RATE
 TAIL_SAMPLES = int(1.5 * SAMPLE_RATE)
 SLICE_SAMPLES = 8 * SAMPLE_RATE
 IDLE = "40 minutes"
+IDLE_MS = 40 * 60 * 1000
 
 PIECE = "struct<start:double,end:double,text:string>"
 CHUNK_SCHEMA = (
@@ -38,45 +39,124 @@ def read_chunks(spark: SparkSession, path: str, files_per_round: int = 1) -> Dat
     return spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", files_per_round).parquet(path)
 
 
+# --- order ---------------------------------------------------------------------------------------
+
+
+def _in_order(make: type, columns: list[str], timed: bool) -> Callable:
+    """A state function that hands one meeting's rows to ``make(key, saved)`` by ``seq``.
+
+    ``seq`` counts from 0. However rows fall into files and micro-batches, each is taken once and in its
+    turn; a repeated one is dropped and one that comes early waits in the state. The state goes when the
+    event-time timer fires: first a gap older than the watermark is given up, then, when nothing
+    waits, the meeting is forgotten.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        expected, last, waiting, *saved = state.get if state.exists else (0, 0, [])
+        waiting = {w[0]: tuple(w) for w in waiting}
+        work = make(key[0], saved)
+        out: list[tuple] = []
+
+        def drain() -> None:
+            nonlocal expected
+            while expected in waiting:
+                out.extend(work.take(expected, *waiting.pop(expected)[2:]))
+                expected += 1
+
+        for batch in batches:
+            for seq, at, *rest in batch[columns].itertuples(index=False, name=None):
+                if seq >= expected and int(seq) not in waiting:
+                    waiting[int(seq)] = (int(seq), int(at), *work.plain(*rest))
+                last = max(last, int(at))
+            drain()
+        if timed:
+            mark = state.getCurrentWatermarkMs()
+            while waiting and waiting[min(waiting)][1] <= mark:
+                expected = min(waiting)
+                drain()
+        out.extend(work.end())
+        if timed and state.hasTimedOut and not waiting and last + IDLE_MS <= mark:
+            state.remove()
+        else:
+            state.update((expected, last, [waiting[k] for k in sorted(waiting)], *work.saved()))
+            if timed:
+                due = min(w[1] for w in waiting.values()) if waiting else last + IDLE_MS
+                state.setTimeoutTimestamp(max(due, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=work.COLUMNS)
+
+    return run
+
+
+def _by_meeting(rows: DataFrame, make: type, lateness: str | None) -> DataFrame:
+    """Rows through ``make``. With ``lateness`` a watermark bounds the state; without it gaps wait for ever."""
+    timed = lateness is not None
+    at = F.unix_millis("event_time") if timed else F.lit(0).cast("bigint")
+    timely = rows.withWatermark("event_time", lateness) if timed else rows
+    kept = timely.select("meeting_id", "seq", at.alias("at"), *make.FIELDS, *(["event_time"] if timed else []))
+    timer = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    waiting = ", ".join(f"{name}: {kind}" for name, kind in make.FIELDS.items())
+    kept_state = f"expected bigint, last bigint, waiting array<struct<seq: bigint, at: bigint, {waiting}>>, {make.STATE}"
+    run = _in_order(make, ["seq", "at", *make.FIELDS], timed)
+    return kept.groupBy("meeting_id").applyInPandasWithState(run, make.OUT, kept_state, "append", timer)
+
+
 # --- rounds --------------------------------------------------------------------------------------
 
-_ROUND_OUT = (
-    "meeting_id string, round int, seg_in_round int, start double, end double, text string, seam double, offset double, before_1 string, before_2 string"
-)
-_ROUND_STATE = f"emitted bigint, pending bigint, tail bigint, round int, held array<{PIECE}>, context array<string>"
-
-
-def _rounds_of_meeting(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one meeting is at most one round; the first waits until enough has come."""
-    emitted, pending, tail, number, held, context = state.get if state.exists else (0, 0, 0, 0, [], [])
-    held = [tuple(h) for h in held]
-    context = list(context)
-    stopped = False
-    for chunk in pd.concat(list(batches)).sort_values("seq").itertuples():
-        at = (emitted + pending) / SAMPLE_RATE
-        if chunk.n_samples > 0:
-            for piece in chunk.segments if chunk.segments is not None else []:
-                timed = piece["start"] is not None and piece["end"] is not None
-                held.append((piece["start"] + at, piece["end"] + at, piece["text"]) if timed else (None, None, piece["text"]))
-            pending += chunk.n_samples
-        stopped = stopped or bool(chunk.is_stop)
-    if pending > 0 and (number > 0 or stopped or pending >= FIRST_ROUND_SAMPLES):
-        number += 1
-        rows = []
-        seen = list(context)
-        for i, (start, end, text) in enumerate(held):
-            rows.append((key[0], number, i, start, end, text, emitted / SAMPLE_RATE, (emitted - tail) / SAMPLE_RATE, *([None, None, *seen][-2:][::-1])))
+
+class _Rounds:
+    """Chunks of one meeting gathered into rounds; the first waits until enough has come."""
+
+    FIELDS = {"n_samples": "bigint", "segments": f"array<{PIECE}>", "is_stop": "boolean"}
+    OUT = "meeting_id string, round int, seg_in_round int, start double, end double, text string, seam double, offset double, before_1 string, before_2 string"
+    STATE = f"emitted bigint, pending bigint, tail bigint, round int, held array<{PIECE}>, context array<string>, stopped boolean"
+    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
+    COALESCE = True
+
+    def __init__(self, key: str, saved: list) -> None:
+        self.key = key
+        self.emitted, self.pending, self.tail, self.number, held, context, self.stopped = saved or (0, 0, 0, 0, [], [], False)
+        self.held, self.context = [tuple(h) for h in held], list(context)
+
+    @staticmethod
+    def plain(n_samples, segments, is_stop) -> tuple:
+        pieces = segments if segments is not None else []
+        return int(n_samples), [(p["start"], p["end"], p["text"]) for p in pieces], bool(is_stop)
+
+    def take(self, seq: int, n_samples: int, segments: list, is_stop: bool) -> list[tuple]:
+        if self.stopped:
+            return []
+        at = (self.emitted + self.pending) / SAMPLE_RATE
+        if n_samples > 0:
+            for start, end, text in segments:
+                timed = start is not None and end is not None
+                self.held.append((start + at, end + at, text) if timed else (None, None, text))
+            self.pending += n_samples
+        self.stopped = is_stop
+        return [] if self.COALESCE and not is_stop else self.end()
+
+    def end(self) -> list[tuple]:
+        """Close a round if enough is pending."""
+        if not (self.pending > 0 and (self.number > 0 or self.stopped or self.pending >= FIRST_ROUND_SAMPLES)):
+            return []
+        self.number += 1
+        rows, seen = [], list(self.context)
+        seam, offset = self.emitted / SAMPLE_RATE, (self.emitted - self.tail) / SAMPLE_RATE
+        for i, (start, end, text) in enumerate(self.held):
+            rows.append((self.key, self.number, i, start, end, text, seam, offset, *([None, None, *seen][-2:][::-1])))
             seen.append(text)
-        if held:
-            context = [h[2] for h in held][-2:]
-        tail = min(TAIL_SAMPLES, tail + pending)
-        emitted, pending, held = emitted + pending, 0, []
-        if rows:
-            yield pd.DataFrame(rows, columns=["meeting_id", "round", "seg_in_round", "start", "end", "text", "seam", "offset", "before_1", "before_2"])
-    if stopped:
-        state.remove()
-    else:
-        state.update((emitted, pending, tail, number, held, context))
+        if self.held:
+            self.context = [h[2] for h in self.held][-2:]
+        self.tail = min(TAIL_SAMPLES, self.tail + self.pending)
+        self.emitted, self.pending, self.held = self.emitted + self.pending, 0, []
+        return rows
+
+    def saved(self) -> tuple:
+        return self.emitted, self.pending, self.tail, self.number, self.held, self.context, self.stopped
+
+
+class _ChunkRounds(_Rounds):
+    COALESCE = False
 
 
 def _flagged(rows: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
@@ -91,11 +171,13 @@ def _flagged(rows: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
     return worded.select("meeting_id", "round", "seg_in_round", "start", "end", "text", "seam", "offset", flag.alias("duplicate"))
 
 
-def live_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
-    """Segments of a chunk stream, round by round, on the session's timeline and with repeats flagged."""
-    keyed = chunks.select("meeting_id", "seq", "n_samples", "segments", "is_stop").groupBy("meeting_id")
-    rows = keyed.applyInPandasWithState(_rounds_of_meeting, _ROUND_OUT, _ROUND_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _flagged(rows, dictionary)
+def live_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None, lateness: str | None = None, coalesce: bool = True) -> DataFrame:
+    """Segments of a chunk stream, round by round, on the session's timeline and with repeats flagged.
+
+    Chunks that wait together when a micro-batch begins become one round. Without ``coalesce`` every
+    chunk is a round of its own, so rounds do not depend on how chunks arrive. Chunks after a stop are dropped.
+    """
+    return _flagged(_by_meeting(chunks, _Rounds if coalesce else _ChunkRounds, lateness), dictionary)
 
 
 def replayed_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -158,77 +240,96 @@ MOVES = {
 }
 WORKING = ("finalizing", "analyzing")
 
-_SESSION_OUT = "meeting_id string, seq bigint, event string, state string, terminal string"
-_SESSION_STATE = "state string, cancelled boolean, over boolean"
 
-
-def _session_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class _Session:
     """State changes of one meeting; after its one terminal event nothing more comes out."""
-    now, cancelled, over = state.get if state.exists else ("idle", False, False)
-    rows = []
-    for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if over:
-            break
-        terminal = None
-        before = now
-        if e.event == "chunk":
+
+    FIELDS = {"event": "string"}
+    OUT = "meeting_id string, seq bigint, event string, state string, terminal string"
+    STATE = "state string, cancelled boolean, over boolean"
+    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
+
+    def __init__(self, key: str, saved: list) -> None:
+        self.key = key
+        self.now, self.cancelled, self.over = saved or ("idle", False, False)
+
+    @staticmethod
+    def plain(event) -> tuple:
+        return (event,)
+
+    def take(self, seq: int, event: str) -> list[tuple]:
+        if self.over:
+            return []
+        terminal, before = None, self.now
+        if event == "chunk":
             # Sound that arrives while nothing records is dropped.
-            if now == "recording":
-                rows.append((key[0], e.seq, e.event, now, None))
-            continue
-        if e.event == "cancel":
-            cancelled = cancelled or now in WORKING
-        elif e.event in ("finalized", "failed") and now in WORKING:
+            return [(self.key, seq, event, self.now, None)] if self.now == "recording" else []
+        if event == "cancel":
+            self.cancelled = self.cancelled or self.now in WORKING
+        elif event in ("finalized", "failed") and self.now in WORKING:
             # A cancel that came in time outranks whatever the work ended with.
-            terminal = "cancelled" if cancelled else {"finalized": "result", "failed": "error"}[e.event]
-            now = {"cancelled": "idle", "result": "done", "error": "error"}[terminal]
-            over = True
+            terminal = "cancelled" if self.cancelled else {"finalized": "result", "failed": "error"}[event]
+            self.now = {"cancelled": "idle", "result": "done", "error": "error"}[terminal]
+            self.over = True
         else:
-            now = MOVES.get((now, e.event), now)
-        if now != before or terminal:
-            rows.append((key[0], e.seq, e.event, now, terminal))
-    state.update((now, cancelled, over))
-    if rows:
-        yield pd.DataFrame(rows, columns=["meeting_id", "seq", "event", "state", "terminal"])
+            self.now = MOVES.get((self.now, event), self.now)
+        return [(self.key, seq, event, self.now, terminal)] if self.now != before or terminal else []
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def saved(self) -> tuple:
+        return self.now, self.cancelled, self.over
 
 
-def session_states(events: DataFrame) -> DataFrame:
+def session_states(events: DataFrame, lateness: str | None = None) -> DataFrame:
     """State changes of a stream of control events: ``(meeting_id, seq, event, state, terminal)``.
 
     Chunks may stand among the events; those that arrive while the session records come out too.
     """
-    keyed = events.select("meeting_id", "seq", "event").groupBy("meeting_id")
-    return keyed.applyInPandasWithState(_session_events, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _by_meeting(events, _Session, lateness)
 
 
-_SLICE_OUT = "meeting_id string, slice int, first_seq bigint, last_seq bigint, n_samples bigint"
-_SLICE_STATE = "slice int, first_seq bigint, pending bigint, paused boolean"
-
-
-def _slices_of_meeting(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class _Slices:
     """Captured blocks gathered into slices; a pause or a stop sends what there is."""
-    number, first, pending, paused = state.get if state.exists else (0, -1, 0, False)
-    rows = []
-    for b in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if b.event == "resume":
-            paused = False
-        elif b.event not in ("pause", "stop") and not paused and b.n_samples > 0:
-            first = b.seq if pending == 0 else first
-            pending += b.n_samples
-        flush = b.event in ("pause", "stop") or pending >= SLICE_SAMPLES
-        if flush and pending > 0:
-            rows.append((key[0], number, first, b.seq, pending))
-            number, first, pending = number + 1, -1, 0
-        paused = paused or b.event in ("pause", "stop")
-    state.update((number, int(first), int(pending), bool(paused)))
-    if rows:
-        yield pd.DataFrame(rows, columns=["meeting_id", "slice", "first_seq", "last_seq", "n_samples"])
-
-
-def emission_slices(blocks: DataFrame) -> DataFrame:
+
+    FIELDS = {"event": "string", "n_samples": "bigint"}
+    OUT = "meeting_id string, slice int, first_seq bigint, last_seq bigint, n_samples bigint"
+    STATE = "slice int, first_seq bigint, pending bigint, paused boolean"
+    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
+
+    def __init__(self, key: str, saved: list) -> None:
+        self.key = key
+        self.number, self.first, self.pending, self.paused = saved or (0, -1, 0, False)
+
+    @staticmethod
+    def plain(event, n_samples) -> tuple:
+        return event, int(n_samples)
+
+    def take(self, seq: int, event: str, n_samples: int) -> list[tuple]:
+        pauses = event in ("pause", "stop")
+        if event == "resume":
+            self.paused = False
+        elif not pauses and not self.paused and n_samples > 0:
+            self.first = seq if self.pending == 0 else self.first
+            self.pending += n_samples
+        self.paused = self.paused or pauses
+        if self.pending == 0 or not (pauses or self.pending >= SLICE_SAMPLES):
+            return []
+        done = (self.key, self.number, self.first, seq, self.pending)
+        self.number, self.first, self.pending = self.number + 1, -1, 0
+        return [done]
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def saved(self) -> tuple:
+        return self.number, self.first, self.pending, self.paused
+
+
+def emission_slices(blocks: DataFrame, lateness: str | None = None) -> DataFrame:
     """Slices sent out of captured blocks ``(meeting_id, seq, n_samples, event)``: eight seconds, or less at a pause."""
-    keyed = blocks.select("meeting_id", "seq", "n_samples", "event").groupBy("meeting_id")
-    return keyed.applyInPandasWithState(_slices_of_meeting, _SLICE_OUT, _SLICE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _by_meeting(blocks, _Slices, lateness)
 
 
 def idle_sessions(rows: DataFrame, gap: str = IDLE, lateness: str | None = None) -> DataFrame:

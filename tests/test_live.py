@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,46 @@ def test_stream_equals_replay(spark, tmp_path):
     assert any(r.duplicate for r in streamed) and not all(r.duplicate for r in streamed)
 
 
+def shuffled(spark, rows, schema, operator, folder, files):
+    """The same rows in files that hold any of them, some rows twice."""
+    mixed = random.Random(files).sample(rows + rows[::5], len(rows + rows[::5]))
+    for i in range(files):
+        spark.createDataFrame(mixed[i::files], schema).coalesce(1).write.parquet(f"{folder}/in/{i:04d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    live.run_to_end(operator(stream), f"{folder}/out", f"{folder}/check")
+    return sorted(map(str, spark.read.parquet(f"{folder}/out").drop("batch").collect()))
+
+
+@pytest.mark.parametrize("files", [1, 8])
+def test_any_order_gives_the_same_rounds(spark, tmp_path, files):
+    rows = [r for r in chunk_rows() if r[0] != "b"]
+    by_chunk = lambda chunks: live.live_segments(chunks, coalesce=False)
+    got = shuffled(spark, rows, CHUNKS, by_chunk, str(tmp_path), files)
+    ordered = replay(spark, rows, CHUNKS, "seq", live.live_segments, str(tmp_path / "ordered"))
+    assert got == sorted(map(str, ordered.collect()))
+
+
+@pytest.mark.parametrize("files", [1, 8])
+def test_any_order_gives_the_same_sessions(spark, tmp_path, files):
+    rows = [(m, i, e) for m, (events, _) in SESSIONS.items() for i, e in enumerate(events)]
+    got = shuffled(spark, rows, EVENTS, live.session_states, str(tmp_path), files)
+    ordered = replay(spark, rows, EVENTS, "seq", live.session_states, str(tmp_path / "ordered"))
+    assert got == sorted(map(str, ordered.collect()))
+
+
+def test_watermark_gives_up_a_gap(spark, tmp_path):
+    """Row 1 of ``a`` never comes; once the watermark has passed row 2 the session goes on without it."""
+    at = lambda minute: datetime(2026, 1, 1, 10) + timedelta(minutes=minute)
+    rows = [("a", 0, "start", at(0)), ("a", 2, "stop", at(2)), ("b", 0, "start", at(200)), ("c", 0, "start", at(400))]
+    schema = EVENTS + ", event_time timestamp"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).write.parquet(f"{tmp_path}/in/{i:04d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    live.run_to_end(live.session_states(stream, "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/check")
+    got = {(r.meeting_id, r.seq, r.state) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 0, "recording"), ("a", 2, "finalizing"), ("b", 0, "recording"), ("c", 0, "recording")}
+
+
 EVENTS = "meeting_id string, seq bigint, event string"
 SESSIONS = {
     "plain": (["chunk", "start", "chunk", "pause", "chunk", "resume", "chunk", "stop", "chunk", "analyze", "finalized"], "result"),
