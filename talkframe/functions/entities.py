@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,7 @@ OPEN, CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 S = X.SPACE
 
+# What counts as a value, by rank.
 PATTERNS = [
     rf"(?iu)%{S}*[0-9]+(?:[.,][0-9]+)?",
     rf"(?iu)yüzde{S}+(?:[0-9]+(?:[.,][0-9]+)?|{NUMBER_WORD}(?:{S}+{NUMBER_WORD}){{0,4}})",
@@ -46,24 +48,45 @@ STRONG_MARKERS = ["asıl istediğim", "en çok işime yarayacak", "ihtiyacımız
 MARKERS = ["asıl istediğim", "benim sorum", "en çok işime yarayacak", "ihtiyacımız", "ihtiyacım", "amacımız", "amacım"]
 
 MOST_VALUES, MOST_REQUESTS = 100, 12
-_MARK = "\u0001"
+
+
+_MATCHES = "array<struct<start:int,end:int,rank:int,value:string>>"
+_GROUP = 256
+
+
+def _folded(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Walk through ``items`` with a carried value; ``step`` gives the next one and what to keep.
+
+    An array that grows item by item is copied each time, so items are kept group by group.
+    """
+
+    def walk(acc: Column, item: Column) -> Column:
+        carried, kept = step(acc["carried"], item)
+        return F.struct(carried.alias("carried"), F.concat(acc["kept"], kept).alias("kept"))
+
+    def one_group(acc: Column, group: Column) -> Column:
+        done = F.aggregate(group, F.struct(acc["carried"].alias("carried"), F.array().cast(kind).alias("kept")), walk)
+        return X.let(done, lambda d: F.struct(d["carried"].alias("carried"), F.concat(acc["kept"], d["kept"]).alias("kept")))
+
+    last = F.floor((F.size(items) - 1) / _GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(items, g * _GROUP + 1, F.lit(_GROUP)))
+    zero = F.struct(start.alias("carried"), F.array().cast(kind).alias("kept"))
+    return F.aggregate(groups, zero, one_group, lambda acc: acc["kept"])
 
 
 def _found(text: Column, pattern: str, rank: int) -> Column:
     """Matches of one pattern as ``(start, end, rank, value)``, in order.
 
-    The text is cut at the matches; every second piece is one, and lengths add up to positions.
+    The text is cut at the matches, and lengths add up to positions.
     """
-    none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        until = acc["at"] + F.length(x)
-        hit = F.array(F.struct(acc["at"].alias("start"), until.alias("end"), F.lit(rank).alias("rank"), x.alias("value")))
-        return F.struct(until.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"))
+    def step(at: Column, cut: Column) -> tuple[Column, Column]:
+        start = at + F.length(cut["gap"])
+        until = start + F.coalesce(F.length(cut["hit"]), F.lit(0))
+        hit = F.struct(start.alias("start"), until.alias("end"), F.lit(rank).alias("rank"), cut["hit"].alias("value"))
+        return until, F.when(cut["hit"].isNotNull(), F.array(hit)).otherwise(F.array().cast(_MATCHES))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("hits"))
-    cuts = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
-    return X.let(cuts, lambda c: F.when(F.size(c) > 1, F.aggregate(c, start, step, lambda acc: acc["hits"])).otherwise(none))
+    return X.let(X.cut_at(text, pattern), lambda c: F.when(F.size(c) > 1, _folded(c, F.lit(0), step, _MATCHES)).otherwise(F.array().cast(_MATCHES)))
 
 
 # Patterns by what a text must hold for them to match: a digit, the percent word, a currency, a weekday.
@@ -100,20 +123,19 @@ def all_matches(text: Column) -> Column:
 
 def uncovered(matches: Column) -> Column:
     """Matches that no earlier one covers; sorted matches only need the furthest end so far."""
-    zero = F.struct(F.lit(-1).alias("furthest"), F.array().cast("array<string>").alias("kept"))
-    step = lambda acc, m: F.struct(
-        F.greatest(acc["furthest"], m["end"]).alias("furthest"),
-        F.when(m["end"] > acc["furthest"], F.concat(acc["kept"], F.array(m["value"]))).otherwise(acc["kept"]).alias("kept"),
-    )
-    return F.aggregate(matches, zero, step, lambda acc: acc["kept"])
+    none = F.array().cast("array<string>")
+    step = lambda furthest, m: (F.greatest(furthest, m["end"]), F.when(m["end"] > furthest, F.array(m["value"])).otherwise(none))
+    return X.let(matches, lambda ms: F.when(F.size(ms) > 0, _folded(ms, F.lit(-1), step, "array<string>")).otherwise(none))
 
 
 def unique_in_order(values: Column, most: int) -> Column:
     """First of each value, case and white space aside, at most ``most`` of them, trimmed."""
     keyed = F.transform(values, lambda v: F.struct(X.squeeze(X.lower_tr(v)).alias("key"), X.strip(v).alias("value")))
-    first = lambda ks, keys: F.filter(ks, lambda k, i: (k["key"] != "") & (F.array_position(keys, k["key"]) == i + 1))
-    kept = X.let(keyed, lambda ks: X.let(F.transform(ks, lambda k: k["key"]), lambda keys: first(ks, keys)))
-    return F.transform(F.slice(kept, 1, most), lambda k: k["value"])
+    distinct = lambda keys: F.slice(F.filter(F.array_distinct(keys), lambda k: k != ""), 1, most)
+    value = lambda ks, keys, k: F.get(ks, (F.array_position(keys, k) - 1).cast("int"))["value"]
+    return X.let(
+        keyed, lambda ks: X.let(F.transform(ks, lambda k: k["key"]), lambda keys: F.transform(distinct(keys), lambda k: value(ks, keys, k)))
+    )
 
 
 def value_anchors(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +26,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def cut_at(text: Column, pattern: Column | str) -> Column:
+    """The text as ``(gap, hit)`` pairs: what stands before each match, and the match; the last has no match."""
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))
+    return F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), pairs)
+
+
+def replace_hits(text: Column, pattern: Column | str, new: Callable[[Column], Column]) -> Column:
+    """Every match replaced by ``new(match)``."""
+    return F.array_join(F.transform(cut_at(text, pattern), lambda c: F.concat(c["gap"], F.when(c["hit"].isNull(), "").otherwise(new(c["hit"])))), "")
+
+
 def lower_tr(c: Column) -> Column:
     """Turkish lower case: I to ı and İ to i, which plain ``lower`` gets wrong."""
     return F.lower(F.replace(F.replace(c, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i")))
@@ -189,9 +200,8 @@ def rename_labels(text: Column, names: Column) -> Column:
     """
     longer_first = lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1))
     alternatives = F.array_join(F.transform(F.array_sort(F.map_keys(names), longer_first), quote_pattern), "|")
-    pattern = F.concat(F.lit(f"({_BEFORE_LABEL}(?:"), alternatives, F.lit(f"){_AFTER_LABEL})"))
-    cuts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$1{_MARK}")), _MARK)
-    renamed = F.array_join(F.transform(cuts, lambda x, i: F.when(i % 2 == 1, F.coalesce(names[x], x)).otherwise(x)), "")
+    pattern = F.concat(F.lit(f"{_BEFORE_LABEL}(?:"), alternatives, F.lit(f"){_AFTER_LABEL}"))
+    renamed = replace_hits(text, pattern, lambda x: F.coalesce(names[x], x))
     return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, text).otherwise(renamed)
 
 
@@ -275,9 +285,4 @@ def correct_words(text: Column, dictionary: dict[str, str] | None = None) -> Col
         capital = F.concat(upper, F.substring(word, F.lit(2), F.length(word)))
         return F.coalesce(F.when(first != lower_tr(first), capital).otherwise(word), x)
 
-    marked = F.regexp_replace(text, pattern, f"{_MARK}$1{_MARK}")
-    return F.array_join(F.transform(F.split(marked, _MARK), lambda x, i: F.when(i % 2 == 1, corrected(x)).otherwise(x)), "")
-
-
-def any_of(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts)
+    return replace_hits(text, pattern, corrected)

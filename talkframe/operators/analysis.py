@@ -88,9 +88,15 @@ def serialize_draft(draft: Column) -> Column:
 def parse_draft(markdown: Column) -> Column:
     """The draft a markdown text holds; text outside known headings is left out."""
     lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), r"\r?\n"), X.strip)
-    # A heading opens a part; the parts are told apart by a mark no text contains.
-    marked = F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, rf"^###{X.SPACE}+(.+)$", "\u0001$1")), "\n")
-    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.split(p, "\n"))
+    heading = rf"^###{X.SPACE}+(.+)$"
+
+    def opened_at(ls: Column, heads: Column) -> Column:
+        """Each heading's title with the lines below it; what stands before the first opens no part."""
+        until = lambda k: F.coalesce(F.get(heads, k + 1), F.size(ls))
+        title = lambda h: F.array(F.regexp_replace(F.get(ls, h), heading, "$1"))
+        return F.transform(heads, lambda h, k: F.concat(title(h), F.slice(ls, h + 2, until(k) - h - 1)))
+
+    at = lambda ls: F.array_compact(F.transform(ls, lambda s, i: F.when(F.regexp_like(s, F.lit(heading)), i)))
     bullet = rf"^[-*]{X.SPACE}+(.+)$"
 
     def section(opened: Column, title: str) -> Column:
@@ -99,8 +105,7 @@ def parse_draft(markdown: Column) -> Column:
         bullets = F.filter(below, lambda s: F.regexp_like(s, F.lit(bullet)))
         return F.array_compact(F.transform(bullets, lambda s: clean_item(F.regexp_replace(s, bullet, "$1"))))
 
-    # What stands before the first heading opens no part.
-    headed = X.let(parts, lambda ps: F.slice(ps, F.lit(2), F.size(ps)))
+    headed = X.let(lines, lambda ls: X.let(at(ls), lambda heads: opened_at(ls, heads)))
     return X.let(headed, lambda opened: F.struct(*[section(opened, title).alias(key) for key, title in SECTIONS.items()]))
 
 

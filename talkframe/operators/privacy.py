@@ -73,19 +73,25 @@ def text_problems(text: Column, dependency_only: Column, allowed_emails: list[st
     return F.array_compact(F.array(*[F.when(hit, name) for name, hit in rules]))
 
 
+def _scanned(corpus: DataFrame, allowed_emails: list[str] | None, read: Callable[[Column], Column]) -> DataFrame:
+    """Rules each file's content breaks; contents are scanned where they are read and never shuffled."""
+    outside = (~normal_path(F.col("path")).isin(*DEPENDENCY_FILES)).cast("int")
+    found = F.transform(read(F.col("content")), lambda r: text_problems(r, F.lit(False), allowed_emails or []))
+    rule = F.explode(F.array_distinct(F.flatten(found)))
+    return corpus.select("path", F.sha2("content", 256).alias("content_hash"), outside.alias("_outside"), rule.alias("rule"))
+
+
+def _counts() -> Column:
+    return (F.col("rule") != "email") | (F.col("_outside") == 1)
+
+
 def content_findings(corpus: DataFrame, allowed_emails: list[str] | None = None, read: Callable[[Column], Column] = readings) -> DataFrame:
-    """Rules each distinct content breaks: ``(content_hash, rule)``.
+    """Rules each distinct content breaks: ``(content_hash, rule)``, in any reading of its bytes.
 
-    Copies are scanned once, in every reading of their bytes. A content that only dependency files
-    hold may carry addresses.
+    A content that only dependency files hold may carry addresses.
     """
-    outside = (~normal_path(F.col("path")).isin(*DEPENDENCY_FILES)).cast("int")
-    once = corpus.groupBy(F.sha2("content", 256).alias("content_hash")).agg(
-        F.max(outside).alias("_outside"), F.any_value("content").alias("content")
-    )
-    read_once = once.withColumn("_read", read(F.col("content")))
-    found = F.transform("_read", lambda r: text_problems(r, F.col("_outside") == 0, allowed_emails or []))
-    return read_once.select("content_hash", F.explode(F.array_distinct(F.flatten(found))).alias("rule"))
+    scanned = _scanned(corpus, allowed_emails, read)
+    return scanned.groupBy("content_hash", "rule").agg(F.max("_outside").alias("_outside")).filter(_counts()).select("content_hash", "rule")
 
 
 def path_findings(corpus: DataFrame) -> DataFrame:
@@ -94,10 +100,11 @@ def path_findings(corpus: DataFrame) -> DataFrame:
 
 def findings(corpus: DataFrame, allowed_emails: list[str] | None = None, read: Callable[[Column], Column] = readings) -> DataFrame:
     """Distinct findings per path, from its name and its content: ``(path, rule, content_hash)``."""
-    hashed = corpus.select("path", F.sha2("content", 256).alias("content_hash"))
-    inside = hashed.join(content_findings(corpus, allowed_emails, read), "content_hash").select("path", "rule", "content_hash")
-    named = hashed.withColumn("rule", F.explode(path_problems(F.col("path")))).select("path", "rule", "content_hash")
-    return inside.unionByName(named).distinct()
+    inside = _scanned(corpus, allowed_emails, read).groupBy("path", "content_hash", "rule").agg(F.max("_outside").alias("_outside"))
+    outside = inside.groupBy("content_hash", "rule").agg(F.max("_outside").alias("_outside")).filter(_counts())
+    counted = inside.drop("_outside").join(outside, ["content_hash", "rule"]).select("path", "rule", "content_hash")
+    named = corpus.select("path", F.explode(path_problems(F.col("path"))).alias("rule"), F.sha2("content", 256).alias("content_hash"))
+    return counted.unionByName(named).distinct()
 
 
 def finding_counts(found: DataFrame) -> DataFrame:

@@ -179,6 +179,15 @@ def runs(
     return numbered.withColumn(name, F.col("_base") + F.col("_at") - 1).drop("_box", "_prev", "_new", "_at", "_base")
 
 
+def magnitude_bin(v: Column) -> Column:
+    """A bin that grows with ``v`` of either sign: 4096 to a power of two, so small values are told apart like large ones."""
+    size = F.abs(v)
+    power = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
+    # A logarithm rounded up past its power of two only moves a value to the step below the first.
+    step = (power + 1023) * 8192 + F.floor(size * F.pow(F.lit(2.0), -power) * 4096) + 1
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -step).otherwise(step).cast("bigint")
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -188,13 +197,13 @@ def order_statistics(
     """Exact order statistics per key without sorting a key in one task.
 
     ``ranks`` maps an output column to a function from the number of values to a 0-based index.
-    A coarse, order-preserving histogram (at most some 10^5 bins per key, combined map-side)
+    A coarse, order-preserving histogram (some 10^5 bins per key, combined map-side)
     finds the bin that holds each index; only the distinct values of that bin are then ordered.
-    Values must not be negative. Adds ``n``, the number of values.
+    Adds ``n``, the number of values.
     """
     v = value.cast("double")
     base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-    binned = base.withColumn("_bin", F.floor(F.log1p("_v") * 4096))
+    binned = base.withColumn("_bin", magnitude_bin(F.col("_v")))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     hist = (
         binned.groupBy(*keys, "_bin")

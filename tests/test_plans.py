@@ -1,5 +1,9 @@
 """Plans of registered queries: no nested loops, no Python where the JVM does the work, pruned scans."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from talkframe.plans.catalog import QUERIES, SQL
@@ -45,3 +49,8 @@ def test_scans_are_pruned(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def test_queries_are_imported_without_a_session():
+    """The caller may list the queries before it opens a session."""
+    subprocess.run([sys.executable, "-c", "import talkframe.plans.catalog"], check=True, cwd=Path(__file__).resolve().parent.parent)

@@ -185,9 +185,10 @@ def test_scans_match_plain_loops(spark):
             assert runs[(k, d[1])] == run
 
 
-def test_order_statistics_are_exact(spark):
+@pytest.mark.parametrize("scale", [9.0, 2e-4, -3.0, 1e-310])
+def test_order_statistics_are_exact(spark, scale):
     rng = random.Random(5)
-    data = [(k, rng.choice([0.0, 0.25, rng.random() * 9])) for k in "ab" for _ in range(301)]
+    data = [(k, rng.choice([0.0, 0.25 * scale, 2.0 ** -rng.randint(0, 9) * scale, (rng.random() - 0.3) * scale])) for k in "ab" for _ in range(301)]
     df = spark.createDataFrame(data, "k string, v double")
     got = order_statistics(df, ["k"], F.col("v"), {"low": lambda n: F.floor(n * 0.1), "high": lambda n: n - 1}).collect()
     for r in got:

@@ -327,3 +327,18 @@ def test_group_packing(value):
     config = A.AnalysisConfig(num_ctx=4196, system="")  # 350 characters fit
     got = value(A.pack_groups(a.cast("array<bigint>"), 0, config), a=[100, 200, 100, 400, 10, 10])
     assert got == [0, 0, 1, 2, 3, 3]
+
+
+def test_a_mark_in_a_text_changes_nothing(value):
+    assert value(X.correct_words(F.col("a")), a="fre a\x01b fre c") == "fire a\x01b fire c"
+    names = F.create_map(F.lit("SPEAKER_1"), F.lit("Ada"))
+    assert value(X.rename_labels(F.col("a"), names), a="x\x01y SPEAKER_1") == "x\x01y Ada"
+    assert value(E.value_anchors(F.col("a")), a="\x01 oran %5 ve 20 kg \x01 sonra %7") == ["%5", "20 kg", "%7"]
+    title = A.SECTIONS["nextSteps"]
+    assert value(A.parse_draft(F.col("a"))["nextSteps"], a=f"- before\n### {title}\n- a \x01 b\n###\n- c") == ["a \x01 b", "c"]
+
+
+def test_values_keep_their_first_form_at_any_length(value):
+    """More matches than one group of the walk holds, each value many times over."""
+    said = " ".join(f"{i % 70 + 1} kg ve {i % 70 + 1}  KG;" for i in range(700))
+    assert value(E.value_anchors(F.col("a")), a=said) == [f"{i + 1} kg" for i in range(70)]
