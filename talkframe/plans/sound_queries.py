@@ -377,12 +377,24 @@ def reference_frames(spark: SparkSession, sf: str) -> DataFrame:
     return voices.evenly_spaced(inner, ["meeting_id", "label"], "frame", voices.REFERENCE_MAX)
 
 
-@query("reference_centroids")
+@query(
+    "reference_centroids",
+    INTERIOR_SQL
+    + """, ranked AS (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY meeting_id, label) AS n FROM interior WINDOW w AS (PARTITION BY meeting_id, label ORDER BY frame)),
+    picks AS (SELECT DISTINCT meeting_id, label, (unnest(generate_series(0, least(n, 24) - 1)) * (n - 1)) // greatest(least(n, 24) - 1, 1) AS r FROM ranked),
+    held AS (SELECT DISTINCT meeting_id, label, frame // 15 AS w_idx FROM ranked JOIN picks USING (meeting_id, label, r)),
+    unit AS (SELECT h.meeting_id, h.label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim,
+       sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) AS n FROM held h JOIN usable u ON u.meeting_id = h.meeting_id AND u.w_idx = h.w_idx),
+    mean AS (SELECT meeting_id, label, dim, avg(CAST(x AS DOUBLE) / n) AS x FROM unit GROUP BY ALL),
+    long AS (SELECT meeting_id, label, sqrt(sum(x * x)) AS l FROM mean GROUP BY ALL)
+    SELECT meeting_id, label, CAST(dim AS INT) AS dim, round(x / l, 6) + 0.0 AS x FROM mean JOIN long USING (meeting_id, label)""",
+)
 def reference_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit centroid per speaker over the windows that hold its reference frames."""
+    """Unit centroid per speaker over the windows that hold its reference frames, a row per dimension."""
     held = reference_frames(spark, sf).withColumn("w_idx", F.floor(F.col("frame") / 15).cast("int")).select("meeting_id", "label", "w_idx").distinct()
     embedded = held.join(T.usable_windows(spark, sf).drop("label"), ["meeting_id", "w_idx"])
-    return voices.reference_centroids(embedded).select("meeting_id", "label", F.size("centroid").alias("dims"))
+    listed = voices.reference_centroids(embedded).select("meeting_id", "label", F.posexplode("centroid").alias("dim", "x"))
+    return listed.withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(

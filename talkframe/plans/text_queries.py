@@ -13,6 +13,7 @@ from talkframe.operators import quality as Q
 from talkframe.operators import values as V
 from talkframe.plans import tables as T
 from talkframe.plans.registry import query
+from talkframe.session import widen
 
 LOWER = "lower(replace(replace({0}, 'I', 'ı'), 'İ', 'i'))"
 
@@ -163,6 +164,37 @@ def value_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return docs
 
 
+def order_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as sentences that name a code, an amount, a date, a share and a number of pieces."""
+    code, price = F.lpad((F.col("o_orderkey") % 100_000_000).cast("string"), 8, "0"), F.floor("o_totalprice").cast("string")
+    share, pieces = (F.col("o_custkey") % 90 + 1).cast("string"), (F.col("o_custkey") % 37 + 2).cast("string")
+    said = F.concat(
+        F.lit("ORD-"), code, F.lit(" kodlu sipariş "), price, F.lit(" TL tutarında, "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit(" günü teslim; indirim %"), share, F.lit(", "), pieces, F.lit(" adet. ORD-"), code, F.lit(" tamam."),
+    )
+    return widen(T.read(spark, sf, "orders")).select("o_orderkey", said.alias("text"), price.alias("price"), pieces.alias("pieces"))
+
+
+ORDER_VALUES_SQL = """WITH v AS (SELECT o_orderkey, 'ORD-' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') AS code, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price,
+  strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d') || ' günü' AS days, '%' || (o_custkey % 90 + 1) AS share, (o_custkey % 37 + 2) || ' adet' AS pieces FROM orders),
+  listed AS (SELECT o_orderkey, {} AS vs FROM v)
+SELECT o_orderkey, CAST(generate_subscripts(vs, 1) - 1 AS INT) AS rank, unnest(vs) AS value FROM listed"""
+
+
+@query("order_values", ORDER_VALUES_SQL.format("[code, price || ' TL', day, days, share, pieces]"))
+def order_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value an order's sentence names, each once; the date's last two digits are also a number of days, which no other value covers."""
+    return order_sentences(spark, sf).select("o_orderkey", F.posexplode(E.value_anchors(F.col("text"))).alias("rank", "value"))
+
+
+@query("order_claims", ORDER_VALUES_SQL.format("['Tutar: ' || price || ' TL', 'Adet: ' || pieces, code, day, days, share]"))
+def order_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims about an order: one that its sentence does not bear out goes, and what no claim covers is added."""
+    claims = F.array(F.concat(F.lit("Tutar: "), "price", F.lit(" TL")), F.lit("Depo: 987654321 koli"), F.concat(F.lit("Adet: "), "pieces", F.lit(" adet")))
+    claimed = order_sentences(spark, sf).withColumn("items", claims)
+    return V.detect_values(claimed).select("o_orderkey", F.posexplode("detected").alias("rank", "value"))
+
+
 SENTENCES_SQL = rf"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?]){T.SPACE_SQL}+', '\1' || chr(1), 'g'), chr(1) || '|\r?\n+'), lambda s: {T.sql_strip('s')}), lambda s: s <> '')"
 
 
