@@ -186,7 +186,7 @@ def call_with_retry(fn: Extractor, system: str, user: str, retries: int, backoff
 def ask(prompts: DataFrame, fn: Extractor, system: str, retries: int = 2, backoff_s: float = 0.25) -> DataFrame:
     """Call the extractor on each row's ``prompt``; adds ``raw`` and ``error``.
 
-    Calls run one after the other in a task, so the number of partitions bounds concurrency.
+    Calls run one after the other in a task, so running tasks bound the calls in flight.
     """
     out_schema = StructType([*prompts.schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
 
@@ -213,7 +213,7 @@ class AnalysisConfig:
     chunk_tokens: int = 2200
     chunk_overlap_tokens: int = 180
     chars_per_token: float = 3.5
-    concurrency: int = 4
+    concurrency: int | None = None
     retries: int = 2
     backoff_s: float = 0.25
     system: str = "Return the nine sections as arrays of strings, supported by the text only."
@@ -310,7 +310,7 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
         shown = F.when(F.col("last"), F.col("_anchors")).otherwise(anchor_block(F.array(), F.array()))
         needed = F.col("last") | (F.size("_m") > 1)
         calls = gathered.filter(needed).select("doc_id", "group", "last", "_e", merge_prompt(partials, shown, config).alias("prompt"))
-        asked = ask(calls.repartition(config.concurrency, "doc_id", "group"), fn, config.system, config.retries, config.backoff_s)
+        asked = ask(_spread(calls, config, "doc_id", "group"), fn, config.system, config.retries, config.backoff_s)
         merged = asked.select("doc_id", "group", "last", coerce_draft(F.col("raw")).alias("draft"), F.coalesce("error", "_e").alias("error"))
         passed = gathered.filter(~needed).select("doc_id", "group", "last", F.col("_d").alias("draft"), F.col("_e").alias("error"))
         # Answers of an outside service are not repeatable, so they are kept before they are used twice.
@@ -326,6 +326,11 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
     return out
 
 
+def _spread(prompts: DataFrame, config: AnalysisConfig, *keys: str) -> DataFrame:
+    """Prompts over tasks by their size, or over as many as ``concurrency`` asks for where a service allows no more calls at once."""
+    return prompts.repartition(*keys) if config.concurrency is None else prompts.repartition(config.concurrency, *keys)
+
+
 def analyze(docs: DataFrame, fn: Extractor, config: AnalysisConfig | None = None) -> DataFrame:
     """Analyses of ``docs(doc_id, text)``: ``(doc_id, status, draft, markdown, error)``.
 
@@ -335,14 +340,14 @@ def analyze(docs: DataFrame, fn: Extractor, config: AnalysisConfig | None = None
     config = config or AnalysisConfig()
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     planned = cut(plan(docs, config))
-    single = planned.filter(F.col("single_pass")).select("doc_id", "prompt").repartition(config.concurrency, "doc_id")
+    single = _spread(planned.filter(F.col("single_pass")).select("doc_id", "prompt"), config, "doc_id")
     direct = _answer(ask(single, fn, config.system, config.retries, config.backoff_s), ["doc_id"])
 
     long = planned.filter(~F.col("single_pass"))
     chunks = chunking.chunk_rows(long.select("doc_id", "text"), config.max_chunk_tokens, config.overlap, config.chars_per_token)
     head = F.concat(F.lit(config.part_intro + " "), (F.col("chunk_idx") + 1).cast("string"), F.lit("/"), F.col("n_chunks").cast("string"), F.lit("\n"))
     prompts = chunks.select("doc_id", F.col("chunk_idx").alias("draft_idx"), F.concat(head, F.col("chunk")).alias("prompt"))
-    parts = ask(prompts.repartition(config.concurrency, "doc_id", "draft_idx"), fn, config.system, config.retries, config.backoff_s)
+    parts = ask(_spread(prompts, config, "doc_id", "draft_idx"), fn, config.system, config.retries, config.backoff_s)
     mapped = _answer(parts, ["doc_id", "draft_idx"])
     reduced = reduce_drafts(mapped, long, fn, config)
     return finish(planned, cut(direct).unionByName(reduced))

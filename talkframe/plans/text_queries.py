@@ -384,5 +384,5 @@ def moved_actions(spark: SparkSession, sf: str) -> DataFrame:
 def analysis_job(spark: SparkSession, sf: str) -> DataFrame:
     """All documents through the whole job with the extractive extractor."""
     docs = T.texts(spark, sf)
-    done = A.analyze(docs, A.extractive, A.AnalysisConfig(num_ctx=6144, chunk_tokens=900, concurrency=8))
+    done = A.analyze(docs, A.extractive, A.AnalysisConfig(num_ctx=6144, chunk_tokens=900))
     return done.select("doc_id", "status", F.size("draft.mainRequest").alias("requests"), F.size("draft.detectedValues").alias("values"))
