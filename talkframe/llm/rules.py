@@ -31,9 +31,10 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 UNIT = 256
-#: Statistic and the smallest standard deviation that it is given, in log units. Rates that are
-#: nought in most texts have no spread of their own; the floor says what is still ordinary.
-FLOORS = {"word_length": 0.12, "symbol_rate": 0.45, "line_rate": 0.6, "repeat_rate": 0.6, "length": 1.6}
+#: Statistic and the noise of counting that is added to its spread, in log units. Rates that are
+#: nought in most texts have no spread of their own, and the estimate must stay invertible; what is
+#: ordinary is left to the spread. About four symbols in 750 characters, one repeated line in 24.
+FLOORS = {"word_length": 0.12, "symbol_rate": 0.2, "line_rate": 0.3, "repeat_rate": 0.3, "length": 0.2}
 DIMS = len(FLOORS)
 CENTRAL = 0.75
 STEPS = 6

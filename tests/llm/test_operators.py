@@ -156,6 +156,19 @@ def test_quality_outliers(spark):
     assert all(kept == (i < 1000) for i, kept in got.items())
 
 
+def test_quality_rejects_moderate_junk(spark):
+    clean = [(i, varied(100 + i, i), "en", "a") for i in range(240)]
+    junk = [(1000 + i, " | ".join(varied(120, 900 + i).split()), "en", "a") for i in range(6)]
+    shares = [n / c for _, c, n, *_ in (base_counts(r[1]) for r in junk)]
+    assert all(0.15 <= x <= 0.2 for x in shares)
+    rng = np.random.default_rng(3)
+    lists = [(2000 + i, "\n".join(rng.choice(varied(30, 800 + i).split(), 120)), "en", "a") for i in range(4)]
+    assert all(5 * base_counts(r[1])[4] <= base_counts(r[1])[0] for r in lists)
+    long = [(3000, varied(40_000, 7), "en", "a")]
+    got = {r.doc_id: r.kept for r in rules.judge(make(spark, clean + junk + lists + long)).collect()}
+    assert all(kept == (i < 1000) for i, kept in got.items())
+
+
 def test_chi_square():
     assert abs(rules.chi2_quantile(0.975, 5) - 12.8325) < 1e-3 and abs(rules.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
