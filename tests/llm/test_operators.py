@@ -325,6 +325,14 @@ def test_main_text():
     assert extraction.main_text("<article><p>Cut off here <a hre") == "Cut off here"
 
 
+def test_left_out_elements_without_end_tag():
+    assert extraction.main_text('<article><p class="ad">Buy<p>One<p>Two</article>') == "One\nTwo"
+    assert extraction.main_text("<article><ul><li class=share>x<li>Point<li>Other</ul><p>End</article>") == "Point\nOther\nEnd"
+    assert extraction.main_text("<article><dl><dt class=ad>x<dd>Kept</dl><table><tr class=promo><td>x<tr><td class=ad>y<td>Cell</table></article>") == "Kept\nCell"
+    assert extraction.main_text("<article><p>One <span class=ad>x<p>Two</article>") == "One\nTwo"
+    assert extraction.main_text("<article><div class=ad><p>x<p>y</div><p>Kept</article>") == "Kept"
+
+
 def test_pages(spark):
     schema = "page_id bigint, url string, html string, text string"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (3, "v", "", "x"), (4, "w", "<article>" + "<p>word " * 20_000, "x")]
