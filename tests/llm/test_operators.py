@@ -325,6 +325,17 @@ def test_main_text():
     assert extraction.main_text("<article><p>Cut off here <a hre") == "Cut off here"
 
 
+def test_pages_without_article_keep_what_stands_beside():
+    lead, long = "A lead of some length that introduces the text below. " * 2, "Words of a long paragraph. " * 40
+    want = ["Title", lead.strip(), long.strip()]
+    assert extraction.main_text(f"<div id=post><h1>Title</h1><p>{lead}</p><div class=text>{long}</div></div>").splitlines() == want
+    points = [f"Point {i} " + "has words that tell more " * 4 for i in range(8)]
+    for outer, inner in (("ul", "li"), ("ol", "li"), ("section", "p"), ("table", "td")):
+        rows = "".join(f"<{'tr><' if inner == 'td' else ''}{inner}>{p}</{inner}>" for p in points)
+        got = extraction.main_text(f"<body><div><div><h2>Head</h2><p>{lead}</p><{outer}>{rows}</{outer}></div></div>").splitlines()
+        assert got == ["Head", lead.strip(), *[p.strip() for p in points]], outer
+
+
 def test_left_out_elements_without_end_tag():
     assert extraction.main_text('<article><p class="ad">Buy<p>One<p>Two</article>') == "One\nTwo"
     assert extraction.main_text("<article><ul><li class=share>x<li>Point<li>Other</ul><p>End</article>") == "Point\nOther\nEnd"
