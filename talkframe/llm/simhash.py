@@ -169,7 +169,10 @@ def compare(most: int):
             last = len(starts) - 1
             at_home = np.add.reduceat(home.astype(np.int64), starts) if len(key) else np.zeros(0, int)
             sizes = ends - starts
-            for i in np.flatnonzero((sizes > 1) & (at_home > 0) | (np.arange(len(starts)) == last)):
+            chosen = (sizes > 1) & (at_home > 0) | (np.arange(len(starts)) == last)
+            if len(key) and tuple(key[0]) == passing:
+                chosen[0] = True  # the tail of an anchor that was handed back, whatever its size and homes
+            for i in np.flatnonzero(chosen):
                 s, e, name = starts[i], ends[i], tuple(key[starts[i]])
                 if passing == name or sizes[i] > most:
                     passing = name

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -271,6 +272,21 @@ def test_links_of_random_fingerprints(spark, hot):
     assert len(set(zip(mine, theirs))) == len(set(mine)) == len(set(theirs))
 
 
+def test_hot_anchors_are_handed_back_whole():
+    def batch(*groups):
+        rows = [(0, anchor, -1, fp, home) for anchor, fps, home in groups for fp in fps]
+        return pd.DataFrame(rows, columns=["side", "anchor", "part", "fp", "home"])
+
+    other = lambda anchor: (anchor, [1 << 40, 1 << 41], False)
+    for tail, home in (([90], True), ([90], False), ([90, 91], False), ([90, 91], True)):
+        batches = [batch((7, range(6), True)), batch((7, tail, home), other(8)), batch(other(9))]
+        out = pd.concat(simhash.compare(4)(iter(batches)))
+        assert sorted(out[out["kind"] == 1]["a"]) == [*range(6), *tail], (tail, home)
+    two = [batch((7, range(6), True)), batch((7, [90], True), (8, range(10, 16), True)), batch((8, [91], True), other(9))]
+    out = pd.concat(simhash.compare(4)(iter(two)))
+    assert sorted(out[out["kind"] == 1]["a"]) == [*range(6), *range(10, 16), 90, 91]
+
+
 # benchmark passages
 
 
