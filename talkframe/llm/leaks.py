@@ -5,8 +5,8 @@ five-word shingles first, through blocks of bits of which at least one is equal
 fingerprints differ in at most RADIUS bits; then the exact similarity of the shingles, each weighed
 by how often it occurs (shared weight over joint weight), which must reach 0.8.
 
-Two bags that reach 0.8 share a shingle, so windows are laid only where a text holds a shingle of
-an item. A fixed-size bit map of the items' shingles finds such places inside the row; what it lets
+Two bags that reach 0.8 share most shingles, so windows are laid at every start from which a text
+holds so many shingles of an item that 0.8 can be reached. A fixed-size bit map of the items' shingles finds such places inside the row; what it lets
 through by chance falls out in an exact join. Only stretches around such places are moved.
 
 Words are runs of letters, marks and digits in lower case. An item of fewer than five words is one
@@ -86,10 +86,10 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def item_grams(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """(k, h, at, n): distinct places of shingle hashes in items of n words."""
+    """(k, h, item_id, n): distinct shingle hashes of the items of n words."""
     out = None
     for k in sizes:
-        rows = items.where(F.least("n", F.lit(GRAM)) == k).select(F.lit(k).alias("k"), "n", F.posexplode(grams(F.col("ws"), k)).alias("at", "h"))
+        rows = items.where(F.least("n", F.lit(GRAM)) == k).select(F.lit(k).alias("k"), "item_id", "n", F.explode(grams(F.col("ws"), k)).alias("h"))
         out = rows if out is None else out.union(rows)
     return out.distinct()
 
@@ -137,6 +137,25 @@ def stretches(docs: DataFrame, known: DataFrame, sizes: list[int], longest: int,
     return rows.withColumn("seg", F.monotonically_increasing_id())
 
 
+def starts(p: Column, m: Column, n: Column, k: int, least: float) -> Column:
+    """Every start in m words of a window of n words with enough of the sorted places p to reach ``least``.
+
+    The windows that start behind a place and up to the next one, x, hold enough where the last of
+    the places they need, counted from x, is still inside.
+    """
+    whole = n - k + 1
+    width = F.least(whole, m - k + 1)
+    need = F.greatest(F.ceil(least * (width + whole) / (1 + least) - 1e-9).cast("int"), F.lit(1))
+
+    def up_to(x: Column, i: Column) -> Column:
+        last = F.get(p, i + need - 1)
+        low = F.greatest(F.coalesce(F.get(p, i - 1) + 1, F.lit(0)), last - width + 1)
+        high = F.least(x, F.greatest(m - n, F.lit(0)))
+        return F.when(last.isNotNull() & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(p, up_to))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, map_bits: int = MAP_BITS) -> DataFrame:
     """(doc_id, key, item_id, similarity, bits): each document's most similar window per item."""
     items = cut(item_table(benchmark))
@@ -147,7 +166,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     windows = None
     for k in sizes:
         places = segs.select("seg", F.size("ws").alias("m"), F.posexplode(grams(F.col("ws"), k)).alias("pos", "h"))
-        rows = places.join(known.where(F.col("k") == k), "h").select("seg", "n", F.greatest(F.least(F.col("pos") - F.col("at"), F.col("m") - F.col("n")), F.lit(0)).alias("start"))
+        hits = places.join(known.where(F.col("k") == k), "h").groupBy("seg", "m", "item_id", "n").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+        rows = hits.select("seg", "n", F.explode(starts(F.col("p"), F.col("m"), F.col("n"), k, least)).alias("start"))
         windows = rows if windows is None else windows.union(rows)
     windows = windows.distinct().join(segs, "seg").select("doc_id", "key", "n", F.slice("ws", F.col("start") + 1, F.col("n")).alias("w"))
     windows = windows.withColumn("parts", shingles(F.col("w"))).select("doc_id", "key", "n", "parts", simhash(F.col("parts")).alias("fp"))

@@ -322,6 +322,18 @@ def test_leaks(spark, docs, none, bench):
     assert leaks.clean(docs, bench).columns == docs.columns
 
 
+def test_leaks_of_reordered_passages(spark):
+    item = varied(60, 77).split()
+    swapped = item[30:] + item[:30]
+    thirds = item[20:40] + item[:20] + item[40:]
+    rows = make(spark, [(1, varied(80, 1) + " " + " ".join(swapped) + " " + varied(70, 2), None, None), (2, " ".join(swapped), None, None), (3, varied(9, 3) + " " + " ".join(thirds), None, None),
+                        (4, " ".join(swapped[:52]), None, None), (5, " ".join(item[:40]) + " " + varied(30, 4), None, None), (6, "a b " * 30, None, None), (7, "b a " * 9, None, None)])
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "a b " * 10), (9, "b"), (9, "a b a")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaked(rows, items).collect()}
+    want = brute_leaks(rows.collect(), items.collect())
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and abs(got[1, 7] - 52 / 60) < 1e-9
+
+
 # pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
