@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import extraction, language, leaks, lines, mixing, rules, sharding, simhash, toxicity, warc
+from talkframe.llm import extraction, language, leaks, lines, mixing, rules, sharding, simhash, substrings, toxicity, warc
 from talkframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.languages(read(spark, sf, "documents"))
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = substrings.without_repeats(read(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def time_sql(share: str, weight: str) -> str:
     """``mixing.training_time`` as SQL."""
     cases = []
@@ -133,3 +139,13 @@ b AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {lines.SHORT
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (b.key IS NOT NULL AND k.doc_id <> b.keeper) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (b.key IS NULL OR k.doc_id = b.keeper), '')) AS kept_sha256
 FROM k LEFT JOIN b USING (key) GROUP BY k.doc_id"""
+
+SQL["op12_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT r, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) > 34),
+g AS (SELECT s.r, s.i, sha256(array_to_string(w[s.i:s.i + 34], ' ')) AS h FROM s JOIN d USING (r)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+m AS (SELECT p.r, p.i, p.word, max(t.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN t ON t.r = p.r AND t.i = p.i),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS lost, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
