@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import extraction, language, leaks, lines, mixing, rules, sharding, simhash, substrings, toxicity, warc
+from talkframe.llm import extraction, language, leaks, lines, merkle, mixing, negatives, rules, sharding, simhash, substrings, toxicity, warc
 from talkframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,12 +73,22 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.languages(read(spark, sf, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf, "documents"))
+
+
 @query
 def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = substrings.without_repeats(read(spark, sf, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf, "embeddings"))
+
+
 def time_sql(share: str, weight: str) -> str:
     """``mixing.training_time`` as SQL."""
     cases = []
@@ -149,3 +159,51 @@ t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g)
 m AS (SELECT p.r, p.i, p.word, max(t.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN t ON t.r = p.r AND t.i = p.i),
 k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS lost, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+#: Trees of DuckDB: levels by recursion, one node per run of two; crc32 bit by bit over the id's digits.
+SQL["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, doc_id::VARCHAR AS digits FROM documents),
+c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(digits, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) AS crc FROM d),
+f AS (SELECT d.*, crc % 7 = 0 AND n_chars IS NOT NULL AS due FROM d JOIN c USING (r)),
+l AS (SELECT r, doc_id, lang, due, {leaf} AS leaf, {forged} AS forged FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t AS (SELECT lang, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM i
+  UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY lang, level, i // 2),
+s AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, subroot AS node, count(*) OVER () AS n FROM s
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 1) // 2) FROM u WHERE n > 1 GROUP BY level, i // 2),
+heights AS (SELECT lang, max(level) AS height FROM t GROUP BY lang),
+steps AS (
+  SELECT i.r, t.level AS step, i.i >> t.level AS at, o.node FROM i JOIN t ON t.lang IS NOT DISTINCT FROM i.lang AND t.i = i.i >> t.level AND t.n > 1
+    LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM i.lang AND o.level = t.level AND o.i = xor(t.i, 1)
+  UNION ALL
+  SELECT i.r, h.height + u.level, s.i >> u.level, o.node FROM i JOIN s ON s.lang IS NOT DISTINCT FROM i.lang JOIN heights h ON h.lang IS NOT DISTINCT FROM i.lang
+    JOIN u ON u.i = s.i >> u.level AND u.n > 1 LEFT JOIN u o ON o.level = u.level AND o.i = xor(u.i, 1)),
+proof AS (SELECT r, sha256(coalesce(string_agg(node, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY r),
+way AS (SELECT r, 0 AS step, CASE WHEN due THEN forged ELSE leaf END AS node FROM l
+  UNION ALL SELECT way.r, way.step + 1, sha256(CASE WHEN steps.at % 2 = 1 THEN coalesce(steps.node, '') || way.node ELSE way.node || coalesce(steps.node, '') END)
+  FROM way JOIN steps ON steps.r = way.r AND steps.step = way.step),
+folded AS (SELECT r, arg_max(node, step) AS folded_root FROM way GROUP BY r),
+root AS (SELECT node AS root FROM u WHERE n = 1)
+SELECT i.doc_id, i.leaf, s.subroot, root.root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, folded.folded_root, folded.folded_root = root.root AS verified, 2 * i.i - bit_count(i.i) AS log_position
+FROM i JOIN s ON s.lang IS NOT DISTINCT FROM i.lang JOIN folded USING (r) LEFT JOIN proof USING (r), root"""
+
+
+def hashed_sql(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')" for v in values) + "))"
+
+
+SQL["op11_merkle_manifest"] = SQL["op11_merkle_manifest"].format(
+    leaf=hashed_sql("doc_id", "source", "lang", "n_chars", "text"), forged=hashed_sql("doc_id", "source", "lang", "(n_chars::HUGEINT + 1)", "text")
+)
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_inner_product(a.q, x.q)::BIGINT AS score
+  FROM v a JOIN v x ON len(a.q) = len(x.q) AND a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
