@@ -1,23 +1,22 @@
 """Live meetings: chunks to rounds, control events to one terminal event, idle sessions closed.
 
-State is kept per meeting. What a state function does in Python is bookkeeping; text and timing
+State is kept per meeting (``ordered.py``). What a state function does in Python is bookkeeping; text and timing
 rules are the column expressions of the batch operators, applied to its output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talkframe.functions import text as X
 from talkframe.operators import segments as S
 from talkframe.operators.sides import SAMPLE_RATE
 from talkframe.plans.blocks import BLOCK_ROWS, block_window, core_rows, scan, with_block, with_halo
 from talkframe.session import runs_in_tasks
+from talkframe.streaming.ordered import Bookkeeper, by_key, rocksdb
 
 runs_in_tasks(__name__)
 
@@ -25,7 +24,6 @@ FIRST_ROUND_SAMPLES = 20 * SAMPLE_RATE
 TAIL_SAMPLES = int(1.5 * SAMPLE_RATE)
 SLICE_SAMPLES = 8 * SAMPLE_RATE
 IDLE = "40 minutes"
-IDLE_MS = 40 * 60 * 1000
 
 PIECE = "struct<start:double,end:double,text:string>"
 CHUNK_SCHEMA = (
@@ -39,84 +37,25 @@ def read_chunks(spark: SparkSession, path: str, files_per_round: int = 1) -> Dat
     return spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", files_per_round).parquet(path)
 
 
-# --- order ---------------------------------------------------------------------------------------
+# --- rounds --------------------------------------------------------------------------------------
 
 
-def _in_order(make: type, columns: list[str], timed: bool) -> Callable:
-    """A state function that hands one meeting's rows to ``make(key, saved)`` by ``seq``.
+class _Rounds(Bookkeeper):
+    """Chunks of one meeting gathered into rounds; the first waits until enough has come.
 
-    ``seq`` counts from 0. However rows fall into files and micro-batches, each is taken once and in its
-    turn; a repeated one is dropped and one that comes early waits in the state. The state goes when the
-    event-time timer fires: first a gap older than the watermark is given up, then, when nothing
-    waits, the meeting is forgotten.
+    A stop comes out as a row of its own, behind the segments of the last round.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, last, waiting, *saved = state.get if state.exists else (0, 0, [])
-        waiting = {w[0]: tuple(w) for w in waiting}
-        work = make(key[0], saved)
-        out: list[tuple] = []
-
-        def drain() -> None:
-            nonlocal expected
-            while expected in waiting:
-                out.extend(work.take(expected, *waiting.pop(expected)[2:]))
-                expected += 1
-
-        for batch in batches:
-            for seq, at, *rest in batch[columns].itertuples(index=False, name=None):
-                if seq >= expected and int(seq) not in waiting:
-                    waiting[int(seq)] = (int(seq), int(at), *work.plain(*rest))
-                last = max(last, int(at))
-            drain()
-        if timed:
-            mark = state.getCurrentWatermarkMs()
-            while waiting and waiting[min(waiting)][1] <= mark:
-                expected = min(waiting)
-                drain()
-        out.extend(work.end())
-        if timed and state.hasTimedOut and not waiting and last + IDLE_MS <= mark:
-            state.remove()
-        else:
-            state.update((expected, last, [waiting[k] for k in sorted(waiting)], *work.saved()))
-            if timed:
-                due = min(w[1] for w in waiting.values()) if waiting else last + IDLE_MS
-                state.setTimeoutTimestamp(max(due, mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=work.COLUMNS)
-
-    return run
-
-
-def _by_meeting(rows: DataFrame, make: type, lateness: str | None) -> DataFrame:
-    """Rows through ``make``. With ``lateness`` a watermark bounds the state; without it gaps wait for ever."""
-    timed = lateness is not None
-    at = F.unix_millis("event_time") if timed else F.lit(0).cast("bigint")
-    timely = rows.withWatermark("event_time", lateness) if timed else rows
-    kept = timely.select("meeting_id", "seq", at.alias("at"), *make.FIELDS, *(["event_time"] if timed else []))
-    timer = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    waiting = ", ".join(f"{name}: {kind}" for name, kind in make.FIELDS.items())
-    kept_state = f"expected bigint, last bigint, waiting array<struct<seq: bigint, at: bigint, {waiting}>>, {make.STATE}"
-    run = _in_order(make, ["seq", "at", *make.FIELDS], timed)
-    return kept.groupBy("meeting_id").applyInPandasWithState(run, make.OUT, kept_state, "append", timer)
-
-
-# --- rounds --------------------------------------------------------------------------------------
-
-
-class _Rounds:
-    """Chunks of one meeting gathered into rounds; the first waits until enough has come."""
-
     FIELDS = {"n_samples": "bigint", "segments": f"array<{PIECE}>", "is_stop": "boolean"}
-    OUT = "meeting_id string, round int, seg_in_round int, start double, end double, text string, seam double, offset double, before_1 string, before_2 string"
-    STATE = f"emitted bigint, pending bigint, tail bigint, round int, held array<{PIECE}>, context array<string>, stopped boolean"
-    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
+    OUT = "meeting_id string, round int, seg_in_round int, start double, end double, text string, seam double, offset double, before_1 string, before_2 string, ended boolean"
+    STATE = "emitted bigint, pending bigint, tail bigint, round int, context array<string>, stopped boolean"
+    LISTED = "start double, end double, text string"
     COALESCE = True
 
-    def __init__(self, key: str, saved: list) -> None:
-        self.key = key
-        self.emitted, self.pending, self.tail, self.number, held, context, self.stopped = saved or (0, 0, 0, 0, [], [], False)
-        self.held, self.context = [tuple(h) for h in held], list(context)
+    def __init__(self, key: str, saved: tuple | None, gathered=list) -> None:
+        super().__init__(key, saved, gathered)
+        self.emitted, self.pending, self.tail, self.number, context, self.stopped = saved or (0, 0, 0, 0, [], False)
+        self.context = list(context)
 
     @staticmethod
     def plain(n_samples, segments, is_stop) -> tuple:
@@ -130,29 +69,33 @@ class _Rounds:
         if n_samples > 0:
             for start, end, text in segments:
                 timed = start is not None and end is not None
-                self.held.append((start + at, end + at, text) if timed else (None, None, text))
+                self.fresh.append((start + at, end + at, text) if timed else (None, None, text))
             self.pending += n_samples
         self.stopped = is_stop
-        return [] if self.COALESCE and not is_stop else self.end()
+        if is_stop:
+            return [*self.end(), (self.key, self.number, -1, *[None] * 7, True)]
+        return [] if self.COALESCE else self.end()
 
     def end(self) -> list[tuple]:
         """Close a round if enough is pending."""
         if not (self.pending > 0 and (self.number > 0 or self.stopped or self.pending >= FIRST_ROUND_SAMPLES)):
             return []
         self.number += 1
+        held = self.gathered()
         rows, seen = [], list(self.context)
         seam, offset = self.emitted / SAMPLE_RATE, (self.emitted - self.tail) / SAMPLE_RATE
-        for i, (start, end, text) in enumerate(self.held):
-            rows.append((self.key, self.number, i, start, end, text, seam, offset, *([None, None, *seen][-2:][::-1])))
+        for i, (start, end, text) in enumerate(held):
+            rows.append((self.key, self.number, i, start, end, text, seam, offset, *([None, None, *seen][-2:][::-1]), False))
             seen.append(text)
-        if self.held:
-            self.context = [h[2] for h in self.held][-2:]
+        if held:
+            self.context = [h[2] for h in held][-2:]
         self.tail = min(TAIL_SAMPLES, self.tail + self.pending)
-        self.emitted, self.pending, self.held = self.emitted + self.pending, 0, []
+        self.emitted, self.pending = self.emitted + self.pending, 0
+        self.empty()
         return rows
 
     def saved(self) -> tuple:
-        return self.emitted, self.pending, self.tail, self.number, self.held, self.context, self.stopped
+        return self.emitted, self.pending, self.tail, self.number, self.context, self.stopped
 
 
 class _ChunkRounds(_Rounds):
@@ -168,7 +111,8 @@ def _flagged(rows: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
     rate = X.chars_per_second(F.col("text"), F.col("start"), F.col("end"))
     repeated = S.repeats_before(F.col("_tokens"), F.col("_hay"), rate)
     flag = S.seam_repeat(F.col("end"), F.col("seam")) | repeated
-    return worded.select("meeting_id", "round", "seg_in_round", "start", "end", "text", "seam", "offset", flag.alias("duplicate"))
+    ended = [c for c in rows.columns if c == "ended"]
+    return worded.select("meeting_id", "round", "seg_in_round", "start", "end", "text", "seam", "offset", flag.alias("duplicate"), *ended)
 
 
 def live_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None, lateness: str | None = None, coalesce: bool = True) -> DataFrame:
@@ -177,7 +121,12 @@ def live_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None, l
     Chunks that wait together when a micro-batch begins become one round. Without ``coalesce`` every
     chunk is a round of its own, so rounds do not depend on how chunks arrive. Chunks after a stop are dropped.
     """
-    return _flagged(_by_meeting(chunks, _Rounds if coalesce else _ChunkRounds, lateness), dictionary)
+    return live_rows(chunks, dictionary, lateness, coalesce).filter(~F.col("ended")).drop("ended")
+
+
+def live_rows(chunks: DataFrame, dictionary: dict[str, str] | None = None, lateness: str | None = None, coalesce: bool = True) -> DataFrame:
+    """``live_segments`` with a last row for every meeting that has stopped: ``ended``, without text."""
+    return _flagged(by_key(chunks, _Rounds if coalesce else _ChunkRounds, lateness), dictionary)
 
 
 def replayed_segments(chunks: DataFrame, dictionary: dict[str, str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -241,22 +190,17 @@ MOVES = {
 WORKING = ("finalizing", "analyzing")
 
 
-class _Session:
+class _Session(Bookkeeper):
     """State changes of one meeting; after its one terminal event nothing more comes out."""
 
     FIELDS = {"event": "string"}
     OUT = "meeting_id string, seq bigint, event string, state string, terminal string"
     STATE = "state string, cancelled boolean, over boolean"
-    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
 
-    def __init__(self, key: str, saved: list) -> None:
-        self.key = key
+    def __init__(self, key: str, saved: tuple | None, gathered=list) -> None:
+        super().__init__(key, saved, gathered)
         self.now, self.cancelled, self.over = saved or ("idle", False, False)
 
-    @staticmethod
-    def plain(event) -> tuple:
-        return (event,)
-
     def take(self, seq: int, event: str) -> list[tuple]:
         if self.over:
             return []
@@ -275,9 +219,6 @@ class _Session:
             self.now = MOVES.get((self.now, event), self.now)
         return [(self.key, seq, event, self.now, terminal)] if self.now != before or terminal else []
 
-    def end(self) -> list[tuple]:
-        return []
-
     def saved(self) -> tuple:
         return self.now, self.cancelled, self.over
 
@@ -287,19 +228,18 @@ def session_states(events: DataFrame, lateness: str | None = None) -> DataFrame:
 
     Chunks may stand among the events; those that arrive while the session records come out too.
     """
-    return _by_meeting(events, _Session, lateness)
+    return by_key(events, _Session, lateness)
 
 
-class _Slices:
+class _Slices(Bookkeeper):
     """Captured blocks gathered into slices; a pause or a stop sends what there is."""
 
     FIELDS = {"event": "string", "n_samples": "bigint"}
     OUT = "meeting_id string, slice int, first_seq bigint, last_seq bigint, n_samples bigint"
     STATE = "slice int, first_seq bigint, pending bigint, paused boolean"
-    COLUMNS = [part.split()[0] for part in OUT.split(", ")]
 
-    def __init__(self, key: str, saved: list) -> None:
-        self.key = key
+    def __init__(self, key: str, saved: tuple | None, gathered=list) -> None:
+        super().__init__(key, saved, gathered)
         self.number, self.first, self.pending, self.paused = saved or (0, -1, 0, False)
 
     @staticmethod
@@ -320,16 +260,13 @@ class _Slices:
         self.number, self.first, self.pending = self.number + 1, -1, 0
         return [done]
 
-    def end(self) -> list[tuple]:
-        return []
-
     def saved(self) -> tuple:
         return self.number, self.first, self.pending, self.paused
 
 
 def emission_slices(blocks: DataFrame, lateness: str | None = None) -> DataFrame:
     """Slices sent out of captured blocks ``(meeting_id, seq, n_samples, event)``: eight seconds, or less at a pause."""
-    return _by_meeting(blocks, _Slices, lateness)
+    return by_key(blocks, _Slices, lateness)
 
 
 def idle_sessions(rows: DataFrame, gap: str = IDLE, lateness: str | None = None) -> DataFrame:
@@ -396,7 +333,8 @@ def start_live(stream: DataFrame, path: str, checkpoint: str, on_round: Callable
             on_round(rows.sparkSession.read.parquet(f"{path}/batch={round_id}"), round_id)
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with rocksdb(stream.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, on_round: Callable[[DataFrame, int], None] | None = None) -> None:
