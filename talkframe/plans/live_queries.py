@@ -9,7 +9,8 @@ from talkframe.plans import tables as T
 from talkframe.plans.registry import query
 from talkframe.session import run_folder
 from talkframe.sources.scripts import spoken_centiseconds
-from talkframe.streaming import live
+from talkframe.plans.sound_queries import PLACEMENT_SQL, envelope_chunks
+from talkframe.streaming import ending, envelope, live
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +61,34 @@ def live_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return replayed.groupBy("meeting_id", "round", "seam", "offset").agg(F.count("*").alias("segments"))
 
 
-LIVE_FLAGS_SQL = (
+COALESCED = 5  # triggers
+
+
+@query(
+    "coalesced_rounds",
+    "WITH "
+    + T.SEGMENTS_SQL
+    + f""", chunk AS (SELECT meeting_id, seg_idx AS seq, (end_cs - start_cs) * 160 AS n FROM segments
+      UNION ALL SELECT meeting_id, max(seg_idx) + 1, NULL FROM segments GROUP BY ALL),
+    came AS (SELECT meeting_id, least(seq // 3, {COALESCED - 1}) AS b, coalesce(sum(n), 0) AS n, count(n) AS chunks, bool_or(n IS NULL) AS stops FROM chunk GROUP BY ALL),
+    held AS (SELECT *, sum(n) OVER w AS cum FROM came WINDOW w AS (PARTITION BY meeting_id ORDER BY b)),
+    opened AS (SELECT *, greatest(sum(CASE WHEN n > 0 AND (cum >= 320000 OR stops) THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY b), 1) AS round FROM held),
+    rounds AS (SELECT meeting_id, round, sum(n) AS n, max(cum) AS cum, sum(chunks) * 3 AS segments FROM opened GROUP BY ALL)
+    SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, CAST(round AS INT) AS round, CAST(cum - n AS DOUBLE) / 16000 AS seam,
+      CAST(cum - n - least(24000, cum - n) AS DOUBLE) / 16000 AS "offset", CAST(segments AS BIGINT) AS segments FROM rounds""",
+)
+def coalesced_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that come three turns at a trigger, one trigger after another: what waits together is one round."""
+    folder = run_folder(spark, "coalesced")
+    rows = chunks(spark, sf).withColumn("step", F.least(F.floor(F.col("seq") / 3), F.lit(COALESCED - 1)))
+    for step in range(COALESCED):  # files are read in the order of their times
+        rows.filter(F.col("step") == step).coalesce(1).write.parquet(f"{folder}/chunks/step={step}")
+    live.run_to_end(live.live_segments(live.read_chunks(spark, f"{folder}/chunks/*")), f"{folder}/out", f"{folder}/checkpoint")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy("meeting_id", F.col("round").cast("int").alias("round"), "seam", "offset").agg(F.count("*").alias("segments"))
+
+
+FLAGGED_SQL = (
     "WITH "
     + T.SEGMENTS_SQL
     + rf""", toks AS (SELECT *, string_split_regex(text, '\s+') AS t FROM segments),
@@ -76,11 +104,12 @@ LIVE_FLAGS_SQL = (
       FROM tok c JOIN pos q ON q.meeting_id = c.meeting_id AND q.i IN (c.i - 1, c.i - 2) LEFT JOIN tok b ON b.meeting_id = c.meeting_id AND b.i = c.i - 2),
     hits AS (SELECT a.meeting_id, a.i, a.p, b.p - a.p AS d FROM pos a JOIN win b ON a.meeting_id = b.meeting_id AND a.i = b.i AND a.word = b.word),
     runs AS (SELECT meeting_id, i, d, p - row_number() OVER (PARTITION BY meeting_id, i, d ORDER BY p) AS g FROM hits),
-    best AS (SELECT meeting_id, i, max(n) AS run FROM (SELECT meeting_id, i, count(*) AS n FROM runs GROUP BY meeting_id, i, d, g) GROUP BY ALL)
-    SELECT CAST(t.meeting_id AS VARCHAR) AS meeting_id, CAST(t.round AS INT) AS round, t.i AS seg_idx, e <= seam + 0.25 OR (len(t.w) >= 4 AND (coalesce(run, 0) / len(t.w) >= 0.8
+    best AS (SELECT meeting_id, i, max(n) AS run FROM (SELECT meeting_id, i, count(*) AS n FROM runs GROUP BY meeting_id, i, d, g) GROUP BY ALL),
+    flg AS (SELECT t.*, e <= seam + 0.25 OR (len(t.w) >= 4 AND (coalesce(run, 0) / len(t.w) >= 0.8
       OR (coalesce(run, 0) / len(t.w) >= 0.6 AND e > s AND length({T.sql_strip('t.text')}) / (e - s) > 25))) AS duplicate
-    FROM tok t LEFT JOIN best USING (meeting_id, i)"""
+    FROM tok t LEFT JOIN best USING (meeting_id, i))"""
 )
+LIVE_FLAGS_SQL = FLAGGED_SQL + " SELECT CAST(t.meeting_id AS VARCHAR) AS meeting_id, CAST(t.round AS INT) AS round, t.i AS seg_idx, duplicate FROM flg t"
 
 
 @query("live_flags", LIVE_FLAGS_SQL)
@@ -195,3 +224,105 @@ def finalized_meetings(spark: SparkSession, sf: str) -> DataFrame:
         "meeting_id", F.when(third == 1, F.concat(F.lit("# "), F.col("meeting_id"))).alias("markdown"), F.when(third == 2, "no answer").alias("error")
     )
     return live.outcomes(done, stopped, analyses)
+
+
+MUTE = 7  # the last of so many meetings says nothing
+SPOKEN_TURNS_SQL = """
+    turns AS (SELECT meeting_id, seg_idx AS turn, speaker, start_cs * 10000 - 300000 AS su, end_cs * 10000 - 300000 AS eu FROM segments
+      UNION ALL SELECT meeting_id, seg_idx + 100000, 'guest', start_cs * 10000 + 200000, start_cs * 10000 + 1400000 FROM segments WHERE seg_idx % 3 = 1)"""
+
+
+def ended_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    mute = F.col("meeting_id").cast("bigint") % MUTE == MUTE - 1
+    said = F.transform("segments", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(mute, F.lit(" ")).otherwise(p["text"]).alias("text")))
+    return chunks(spark, sf).withColumn("segments", said)
+
+
+def spoken_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as a diarizer gives them: a little early, and with a guest who talks into every third."""
+    segs = T.segments(spark, sf).select("meeting_id", "seg_idx", "speaker", "start", "end")
+    at = lambda c, by: ((F.round(F.col(c) * 100) * 10_000 + by) / 1e6)
+    own = segs.select("meeting_id", F.col("seg_idx").cast("bigint").alias("turn_idx"), "speaker", at("start", -300_000).alias("start"), at("end", -300_000).alias("end"))
+    guest = segs.filter(F.col("seg_idx") % 3 == 1).select(
+        "meeting_id", (F.col("seg_idx") + 100_000).cast("bigint").alias("turn_idx"), F.lit("guest").alias("speaker"), at("start", 200_000).alias("start"), at("start", 1_400_000).alias("end")
+    )
+    return own.unionByName(guest)
+
+
+@query(
+    "ended_meetings",
+    FLAGGED_SQL
+    + f""",
+    {SPOKEN_TURNS_SQL.strip()},
+    us AS (SELECT *, CAST(floor(s * 1e6 + 0.5) AS BIGINT) AS su, CAST(floor(e * 1e6 + 0.5) AS BIGINT) AS eu, meeting_id % {MUTE} = {MUTE - 1} AS mute FROM flg),
+    shared AS (SELECT u.meeting_id, u.i, x.speaker, sum(least(u.eu, x.eu) - greatest(u.su, x.su)) AS us, min(x.turn) AS first, any_value(u.eu - u.su) AS l
+      FROM us u JOIN turns x ON x.meeting_id = u.meeting_id AND least(u.eu, x.eu) > greatest(u.su, x.su) AND u.meeting_id % 2 = 0 GROUP BY ALL),
+    who AS (SELECT meeting_id, i, arg_max(speaker, (us, -first)) AS speaker, count(*) FILTER (WHERE us >= 500000 AND (l <= 0 OR us * 10 >= l * 3)) >= 2 AS overlap FROM shared GROUP BY ALL),
+    kept AS (SELECT *, lead(s) OVER w AS ns, lead(e) OVER w AS ne, lead(w) OVER w AS nw FROM us WHERE NOT CASE WHEN mute THEN e <= seam + 0.25 ELSE duplicate END WINDOW w AS (PARTITION BY meeting_id ORDER BY i)),
+    orphans AS (SELECT meeting_id, i FROM kept WHERE NOT mute AND s < ne AND ns < e AND len(w) > 0 AND len(nw) > len(w) AND nw[1:len(w)] = w),
+    final AS (SELECT u.meeting_id, u.i, u.mute, speaker, coalesce(overlap, false) AS overlap,
+        NOT mute AND NOT duplicate AND o.i IS NULL AND {T.sql_strip('text')} <> '' AS active
+      FROM us u LEFT JOIN who USING (meeting_id, i) LEFT JOIN orphans o ON o.meeting_id = u.meeting_id AND o.i = u.i)
+    SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, CASE WHEN meeting_id % 5 = 4 THEN 'cancelled' WHEN bool_or(active) THEN 'result' ELSE 'error' END AS status,
+      meeting_id % 2 <> 0 AS speakers_degraded,
+      CASE WHEN meeting_id % 5 <> 4 THEN count(*) FILTER (WHERE active) END AS kept, CASE WHEN meeting_id % 5 <> 4 THEN count(*) FILTER (WHERE speaker = 'user') END AS by_user,
+      CASE WHEN meeting_id % 5 <> 4 THEN count(*) FILTER (WHERE speaker = 'guest') END AS by_guest, CASE WHEN meeting_id % 5 <> 4 THEN count(*) FILTER (WHERE overlap) END AS overlaps
+    FROM final GROUP BY meeting_id""",
+)
+def ended_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations heard to their end: one terminal row each, and what their finalised transcripts hold.
+
+    Every second meeting has no stored sound and so no speakers, every fifth is called off, every seventh says nothing.
+    """
+    folder = run_folder(spark, "ended")
+    source = hand_over(ended_chunks(spark, sf).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(4))), "part", f"{folder}/chunks")
+    meetings = T.segments(spark, sf).select("meeting_id").distinct()
+    ids = lambda rows: rows.select(F.col("meeting_id").cast("string"))
+    rows = live.live_rows(live.read_chunks(spark, source), coalesce=False)
+    ending.start_meetings(
+        rows, f"{folder}/out", f"{folder}/checkpoint", spoken_turns(spark, sf), silent=ids(meetings.filter("meeting_id % 2 <> 0")),
+        cancelled=ids(meetings.filter("meeting_id % 5 = 4")), once=True,
+    ).awaitTermination()
+    texts = ending.transcripts(spark, f"{folder}/out")
+    active = ~F.col("duplicate") & (F.trim("text") != "")
+    held = texts.groupBy("meeting_id").agg(F.count_if(active).alias("kept"), F.count_if(F.col("speaker") == "user").alias("by_user"), F.count_if(F.col("speaker") == "guest").alias("by_guest"), F.count_if("overlap").alias("overlaps"))
+    return ending.outcomes(spark, f"{folder}/out").select("meeting_id", "status", "speakers_degraded").join(held, "meeting_id", "left")
+
+
+@query("envelope_stream", PLACEMENT_SQL)
+def envelope_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The envelope of every user's events as the stream stores it, whose files bring the chunks in any order."""
+    folder = run_folder(spark, "envelope")
+    rows = envelope_chunks(spark, sf).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(4)))
+    source = hand_over(rows, "part", f"{folder}/chunks")
+    schema = "meeting_id string, seq bigint, offset_samples bigint, mic array<float>, system array<float>"
+    stream = spark.readStream.schema(schema.replace("meeting_id string", "meeting_id bigint")).option("maxFilesPerTrigger", 1).parquet(source)
+    live.run_to_end(envelope.placed_blocks(stream), f"{folder}/out", f"{folder}/checkpoint", mode="update")
+    frames = envelope.envelope(spark.read.parquet(f"{folder}/out"))
+    total = lambda c: F.round(F.sum(F.col(c).cast("double")), 4).alias(c)
+    return frames.groupBy(F.col("meeting_id").cast("bigint").alias("meeting_id")).agg(
+        F.count("*").alias("frames"), F.count_if((F.col("mic") == 0) & (F.col("system") == 0)).alias("gaps"), total("mic"), total("system")
+    )
+
+
+CHUNK_OF_SOUND = 1000  # samples; no whole number of frames
+
+
+@query(
+    "measured_frames",
+    f"""WITH {T.SAMPLES_SQL}
+    SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, sample_idx // 256 AS frame, round(sqrt(sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) / 256), 9) AS mic,
+      round(sqrt(sum(CASE WHEN sample_idx % {CHUNK_OF_SOUND} < 500 THEN CAST(value AS DOUBLE) * CAST(value AS DOUBLE) ELSE 0 END) / 256), 9) AS system
+    FROM samples GROUP BY ALL HAVING count(*) = 256""",
+)
+def measured_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Sound in chunks of a thousand samples, of which the far side fills half: frames run over from one to the next."""
+    folder = run_folder(spark, "measured")
+    part = T.samples(spark, sf).groupBy("meeting_id", F.floor(F.col("sample_idx") / CHUNK_OF_SOUND).alias("seq"))
+    sound = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]).alias("mic"))
+    rows = sound.select("meeting_id", "seq", (F.col("seq") * CHUNK_OF_SOUND).alias("offset_samples"), "mic", F.slice("mic", 1, 500).alias("system"), F.pmod(F.xxhash64("seq"), F.lit(4)).alias("part"))
+    source = hand_over(rows, "part", f"{folder}/chunks")
+    schema = "meeting_id bigint, seq bigint, offset_samples bigint, mic array<float>, system array<float>"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.run_to_end(envelope.measured_frames(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("meeting_id", "frame", F.round("mic", 9).alias("mic"), F.round("system", 9).alias("system"))

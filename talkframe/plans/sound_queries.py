@@ -164,17 +164,17 @@ def envelope_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "envelope_placement",
-    """WITH chunks AS (SELECT user_id AS meeting_id, event_id AS seq, CAST(value / 100 AS FLOAT) AS v, event_id % 4 AS n,
+PLACEMENT_SQL = """WITH chunks AS (SELECT user_id AS meeting_id, event_id AS seq, CAST(value / 100 AS FLOAT) AS v, event_id % 4 AS n,
       CAST(floor((epoch_us(ts) // 1000000 - epoch_us(TIMESTAMP '2024-01-01') // 1000000) * 2 / 256 + 0.5) AS BIGINT) AS b FROM events),
     written AS (SELECT meeting_id, seq, v, unnest(generate_series(0, n - 1)) AS i, b FROM chunks WHERE n > 0),
     laid AS (SELECT meeting_id, b + i AS frame, v AS mic, CASE WHEN i < 2 THEN v ELSE 0 END AS system FROM written
       QUALIFY row_number() OVER (PARTITION BY meeting_id, b + i ORDER BY seq DESC) = 1),
     grid AS (SELECT meeting_id, unnest(generate_series(0, m)) AS frame FROM (SELECT meeting_id, max(frame) AS m FROM laid GROUP BY ALL))
     SELECT meeting_id, count(*) AS frames, count(*) FILTER (WHERE l.mic IS NULL OR l.mic = 0) AS gaps, round(sum(CAST(l.mic AS DOUBLE)), 4) AS mic, round(sum(CAST(l.system AS DOUBLE)), 4) AS system
-    FROM grid LEFT JOIN laid l USING (meeting_id, frame) GROUP BY ALL""",
-)
+    FROM grid LEFT JOIN laid l USING (meeting_id, frame) GROUP BY ALL"""
+
+
+@query("envelope_placement", PLACEMENT_SQL)
 def envelope_placement(spark: SparkSession, sf: str) -> DataFrame:
     """Every frame of every user's timeline, summed up per user."""
     total = lambda c: F.round(F.sum(F.col(c).cast("double")), 4).alias(c)

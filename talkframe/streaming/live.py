@@ -320,7 +320,7 @@ def outcomes(segments: DataFrame, stopped: DataFrame, analyses: DataFrame | None
     )
 
 
-def start_live(stream: DataFrame, path: str, checkpoint: str, on_round: Callable[[DataFrame, int], None] | None = None, once: bool = False):
+def start_live(stream: DataFrame, path: str, checkpoint: str, on_round: Callable[[DataFrame, int], None] | None = None, once: bool = False, mode: str = "append"):
     """Write each round's rows below ``path`` and hand them to ``on_round``.
 
     A round is its own folder and overwritten when Spark repeats it, so rows are stored once
@@ -332,14 +332,14 @@ def start_live(stream: DataFrame, path: str, checkpoint: str, on_round: Callable
         if on_round is not None:
             on_round(rows.sparkSession.read.parquet(f"{path}/batch={round_id}"), round_id)
 
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     with rocksdb(stream.sparkSession):
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, on_round: Callable[[DataFrame, int], None] | None = None) -> None:
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, on_round: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Work off what a stream holds now, then return."""
-    started = start_live(stream, path, checkpoint, on_round, once=True)
+    started = start_live(stream, path, checkpoint, on_round, once=True, mode=mode)
     started.awaitTermination()
 
 
