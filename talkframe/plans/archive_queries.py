@@ -12,10 +12,11 @@ from talkframe.plans import tables as T
 from talkframe.plans.blocks import scan, with_block
 from talkframe.plans.registry import query
 from talkframe.plans.segment_queries import dialogue_sql
-from talkframe.session import cut, widen
+from talkframe.session import cut, run_folder, widen
 from talkframe.sources import corpus
+from talkframe.sources import meeting_files as meeting_store
 from talkframe.sources import runs as run_files
-from talkframe.sources.meetings import markdown_lines
+from talkframe.sources.meetings import explode_segments, markdown_lines
 
 ARC = "WITH " + T.ARCHIVE_SQL
 LIST_SQL = (
@@ -218,6 +219,10 @@ def reanalyzed_meetings(spark: SparkSession, sf: str) -> DataFrame:
       UNION ALL SELECT id, 4, 0, 0, chr(10) || '> Not: Konuşmacı etiketleri bu oturumda kullanılamadı.' FROM listed WHERE speakers_degraded) s ON s.id = l.id""",
 )
 def markdown_export(spark: SparkSession, sf: str) -> DataFrame:
+    return export_lines(spark, sf).withColumn("line", F.md5("line"))
+
+
+def export_lines(spark: SparkSession, sf: str) -> DataFrame:
     arc = T.archive(spark, sf)
     scopes = arc.meetings.select(F.col("id").alias("meeting_id"), F.lit("group").alias("meeting_scope"))
     details = cut(
@@ -225,8 +230,59 @@ def markdown_export(spark: SparkSession, sf: str) -> DataFrame:
     )
     printed = segments.line_text(segments.transcript_lines(arc.segments)).withColumnRenamed("meeting_id", "active")
     lines = cut(printed.join(details.select("active", "meeting_id"), "active"))
-    documents = markdown_lines(details, lines)
-    return documents.withColumn("line", F.md5("line"))
+    return markdown_lines(details, lines)
+
+
+PRINTED_SQL = (
+    ", shown AS (SELECT s.meeting_id, s.seg_idx, s.text, s.speaker FROM segs s)"
+    + dialogue_sql("speaker", "shown").replace("SELECT meeting_id, line_idx, seg_idx //", ", lines AS (SELECT meeting_id, line_idx, seg_idx //", 1)
+    + ")"
+)
+
+
+@query(
+    "meeting_files",
+    ARC
+    + PRINTED_SQL
+    + """, texts AS (SELECT meeting_id, md5(string_agg(label || ': ' || text, chr(10) ORDER BY line_idx, part)) AS text_md5 FROM lines GROUP BY ALL),
+    said AS (SELECT meeting_id, count(*) AS segments, sum(length(text))::BIGINT AS chars, count(DISTINCT speaker) AS speakers FROM segs GROUP BY ALL)
+    SELECT m.id AS meeting_id, m.name, m.original_id, m.edited_id, segments, chars, speakers, text_md5,
+      CASE WHEN segments IS NOT NULL THEN CASE WHEN extract(minute FROM strptime(m.id, '%Y-%m-%dT%H-%M-%S-000Z')) < 30 THEN 'two-party' ELSE 'group' END END AS meeting_scope,
+      a.markdown, a.speakers_degraded
+    FROM meetings m LEFT JOIN said ON said.meeting_id = m.id LEFT JOIN texts ON texts.meeting_id = m.id LEFT JOIN analyses a ON a.meeting_id = m.id AND a.markdown IS NOT NULL""",
+)
+def meeting_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The archive written as one JSON file per meeting and kind, and what the files say when they are read back."""
+    arc, root = T.archive(spark, sf), run_folder(spark, "meetings")
+    scopes = arc.meetings.filter(F.minute(X.id_to_timestamp(F.col("id"))) < 30).select(F.col("id").alias("meeting_id"), F.lit("two-party").alias("meeting_scope"))
+    printed = segments.line_text(segments.transcript_lines(arc.segments))
+    meeting_store.write_files(meeting_store.transcript_rows(arc.segments, printed, scopes), root, "transcripts")
+    meeting_store.write_files(arc.analyses.filter(F.col("markdown").isNotNull()), root, "analyses")
+    meeting_store.write_files(arc.meetings.withColumnRenamed("id", "meeting_id"), root, "meta")
+    told = meeting_store.read_files(spark, root, "transcripts")
+    said = explode_segments(told).groupBy("meeting_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.count_distinct("speaker").alias("speakers"))
+    said = said.join(told.select("meeting_id", "meeting_scope", F.md5("text").alias("text_md5")), "meeting_id")
+    return meeting_store.read_files(spark, root, "meta").join(said, "meeting_id", "left").join(meeting_store.read_files(spark, root, "analyses"), "meeting_id", "left")
+
+
+@query(
+    "exported_files",
+    LIST_SQL
+    + PRINTED_SQL
+    + """, printed AS (
+      SELECT id, 0 AS section, 0 AS line_idx, 0 AS part, '# ' || name || chr(10) AS line FROM listed
+      UNION ALL SELECT id, 1, 0, 0, '## Analiz' || chr(10) || chr(10) || markdown || chr(10) FROM listed WHERE markdown IS NOT NULL
+      UNION ALL SELECT id, 2, 0, 0, '## Döküm' || chr(10) FROM listed
+      UNION ALL SELECT l2.id, 3, line_idx, part, label || ': ' || text FROM lines JOIN listed l2 ON l2.active = lines.meeting_id
+      UNION ALL SELECT id, 4, 0, 0, chr(10) || '> Not: Konuşmacı etiketleri bu oturumda kullanılamadı.' FROM listed WHERE speakers_degraded)
+    SELECT l.id AS meeting_id, any_value(regexp_replace(l.name, '[<>:"/\\\\|?*]', ' ', 'g')) || '.md' AS file_name, md5(string_agg(p.line || chr(10), '' ORDER BY section, line_idx, part)) AS content
+    FROM listed l JOIN printed p USING (id) GROUP BY l.id""",
+)
+def exported_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported documents as one Markdown file per meeting under its cleaned name, read back."""
+    root = run_folder(spark, "exports")
+    meeting_store.write_files(meeting_store.document_rows(export_lines(spark, sf)), root, "markdown")
+    return meeting_store.read_files(spark, root, "markdown").withColumn("content", F.md5("content"))
 
 
 # --- speaker names -------------------------------------------------------------------------------
