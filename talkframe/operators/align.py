@@ -1,14 +1,22 @@
-"""Who speaks in a segment: an interval join of segments with speaker turns."""
+"""Who speaks in a segment: segments meet the running speech of every speaker."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.operators.segments import micros
+from talkframe.operators.segments import MEETING, micros
+from talkframe.plans.blocks import BLK, scan
+from talkframe.session import cut
 
-BUCKET_US = 10_000_000  # ten seconds; a few turns of ordinary speech
 LEAST_SHARED_US = 500_000
+#: Seconds from zero beyond which a time counts as this; infinite and absurd times lie here.
+FAR = 4e9
+#: Time that one task of the sweep sees of a speaker, about; rows decide how many there are.
+SWEEP_US = 600_000_000
+LOW_BITS = 26
+#: The narrowest piece of time on which segments meet turns, and how many widths there are.
+PIECE_US, WIDTHS = 10_000_000, 16
 
 
 def valid_turns(turns: DataFrame) -> DataFrame:
@@ -17,81 +25,97 @@ def valid_turns(turns: DataFrame) -> DataFrame:
     return turns.filter(finite("start") & finite("end") & F.col("speaker").isNotNull())
 
 
-def _cut_to_buckets(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """One row per time bucket that an interval of whole microseconds touches, clipped to it.
+def _at(seconds: Column) -> Column:
+    return micros(F.least(F.greatest(seconds, F.lit(-FAR)), F.lit(FAR))).cast("bigint")
 
-    Intervals without length touch nothing. A long interval becomes many rows, none of which
-    depends on how long the interval is.
+
+def _timed(segments: DataFrame) -> DataFrame:
+    """``(meeting_id, seg_idx, s, e)`` of the segments that last."""
+    known = segments.filter(F.col("start").isNotNull() & F.col("end").isNotNull() & ~F.isnan("start") & ~F.isnan("end"))
+    return known.select("meeting_id", "seg_idx", _at(F.col("start")).alias("s"), _at(F.col("end")).alias("e")).filter("e > s")
+
+
+def _spoken(turns: DataFrame) -> DataFrame:
+    """``(meeting_id, turn_idx, who, s, e)`` of the turns that last."""
+    rows = valid_turns(turns).select("meeting_id", "turn_idx", F.col("speaker").alias("who"), _at(F.col("start")).alias("s"), _at(F.col("end")).alias("e"))
+    return rows.filter("e > s")
+
+
+def shared_time(segments: DataFrame, turns: DataFrame, sweep_us: int = SWEEP_US) -> DataFrame:
+    """Microseconds each segment shares with each speaker: ``(meeting_id, seg_idx, speaker, shared_us)``.
+
+    What a speaker has said up to a moment is running sums over the edges of turns; a segment shares what
+    was said up to its end less what was said up to its start. Both ends of a segment stand among the
+    edges of every speaker of its meeting, so rows follow the number of turns and of segments times speakers and never
+    how long a segment is. Equal turns count each.
     """
-    first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
-    cut = df.filter(F.col(end) > F.col(start)).withColumn("bucket", F.explode(F.sequence(first, last)))
-    return cut.withColumn("from_us", F.greatest(F.col(start), F.col("bucket") * width)).withColumn(
-        "to_us", F.least(F.col(end), (F.col("bucket") + 1) * width)
-    )
+    spoken = _spoken(turns)
+    speakers = spoken.select("meeting_id", "who").distinct()
+    none = F.lit(None).cast("bigint")
+    edge = lambda c, d: F.struct(F.col(c).alias("x"), F.lit(d).alias("d"))
+    edges = spoken.select("meeting_id", "who", F.explode(F.array(edge("s", 1), edge("e", -1))).alias("_e")).select("meeting_id", "who", "_e.x", "_e.d", none.alias("seg_idx"), F.lit(0).alias("sign"))
+    ends = _timed(segments).select("meeting_id", "seg_idx", F.explode(F.array(edge("s", -1), edge("e", 1))).alias("_e"))
+    asked = ends.join(speakers, "meeting_id").select("meeting_id", "who", "_e.x", F.lit(0).alias("d"), F.col("seg_idx").cast("bigint"), F.col("_e.d").alias("sign"))
+    line = edges.unionByName(asked).withColumn(BLK, F.floor(F.col("x") / sweep_us))
+    # times are summed in two parts, so that no running sum leaves a long whatever the times are
+    upper, lower = F.call_function("shiftright", F.col("x"), F.lit(LOW_BITS)), F.col("x").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+    sums = {"_open": ("sum", F.col("d")), "_upper": ("sum", F.col("d") * upper), "_lower": ("sum", F.col("d") * lower)}
+    swept = scan(line, [*MEETING, "who"], ["x"], sums).filter("sign <> 0")
+    said = (F.col("_open") * upper - F.col("_upper")) * (1 << LOW_BITS) + (F.col("_open") * lower - F.col("_lower"))
+    total = swept.groupBy("meeting_id", "seg_idx", F.col("who").alias("speaker")).agg(F.sum(F.col("sign") * said).alias("shared_us"))
+    return total.filter(F.col("shared_us") > 0)
+
+
+def _width(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(PIECE_US).cast("bigint"), 2 * k)
 
 
-def shared_time(segments: DataFrame, turns: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Microseconds each segment shares with each speaker, and that speaker's first turn in it.
+def first_turns(pairs: DataFrame, segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """``pairs(meeting_id, seg_idx, speaker, ...)`` with ``first_turn``, the speaker's turn in the segment that is listed first.
 
-    ``(meeting_id, seg_idx, speaker, shared_us, first_turn)``. Both sides are cut to buckets.
-    Buckets a segment covers whole need only each speaker's total there; the bucket of either end
-    needs the turns themselves, of which equal ones are counted once. So a segment as long as the
-    meeting joins one row per bucket and speaker, and copies of a turn cost nothing. What is left
-    of skew is one (meeting, bucket), which adaptive execution splits.
+    Time is cut to pieces of several widths, each four times the one below. A stretch lies on a few
+    pieces of the width that suits its length, so a long one becomes no more rows than a short
+    one; it meets shorter stretches on its own pieces and longer ones on the wider pieces that hold it.
     """
-    sides = segments.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
-        "meeting_id", "seg_idx", micros(F.col("start")).alias("s"), micros(F.col("end")).alias("e")
-    )
-    pieces = _cut_to_buckets(sides, "s", "e", bucket_us)
-    whole = (F.col("to_us") - F.col("from_us")) == bucket_us
-    spoken = valid_turns(turns).select(
-        "meeting_id",
-        "turn_idx",
-        F.col("speaker").alias("who"),
-        micros(F.col("start")).alias("s"),
-        micros(F.col("end")).alias("e"),
-    )
-    parts = (
-        _cut_to_buckets(spoken, "s", "e", bucket_us)
-        .groupBy("meeting_id", "bucket", "who", F.col("from_us").alias("tf"), F.col("to_us").alias("tt"))
-        .agg(F.count("*").alias("copies"), F.min("turn_idx").alias("turn"))
-    )
-    cover = parts.groupBy("meeting_id", "bucket", "who").agg(
-        F.sum((F.col("tt") - F.col("tf")) * F.col("copies")).alias("us"), F.min("turn").alias("turn")
-    )
-    both = F.least("to_us", "tt") - F.greatest("from_us", "tf")
-    columns = ["meeting_id", "seg_idx", "who", "us", "turn"]
-    inner = pieces.filter(whole).join(cover, ["meeting_id", "bucket"]).select(*columns)
-    edge = (
-        pieces.filter(~whole)
-        .join(parts, ["meeting_id", "bucket"])
-        .filter(both > 0)
-        .withColumn("us", both * F.col("copies"))
-        .select(*columns)
-    )
-    return (
-        inner.unionByName(edge)
-        .groupBy("meeting_id", "seg_idx", F.col("who").alias("speaker"))
-        .agg(F.sum("us").alias("shared_us"), F.min("turn").alias("first_turn"))
-    )
+    keys, line = ["meeting_id", "seg_idx"], ["meeting_id", "who"]
+    own = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(WIDTHS - 1)), lambda k: F.col("e") - F.col("s") <= 4 * _width(k)), 1)
+    wanted = pairs.select(*keys, F.col("speaker").alias("who")).join(_timed(segments), keys).withColumn("own", own)
+    spoken = _spoken(turns).withColumn("own", own).select(*line, F.col("turn_idx").alias("turn"), F.col("s").alias("ts"), F.col("e").alias("te"), "own")
+    top = F.lit(WIDTHS - 1)
+
+    def on(rows: DataFrame, s: str, e: str, levels: Column) -> DataFrame:
+        wide = rows.withColumn("k", F.explode(levels))
+        return wide.withColumn("piece", F.explode(F.sequence(F.floor(F.col(s) / _width(F.col("k"))), F.floor((F.col(e) - 1) / _width(F.col("k")))))).drop("own")
+
+    single = F.array("own")
+    wider = F.when(F.col("own") < top, F.sequence(F.col("own") + 1, top)).otherwise(F.array().cast("array<int>"))
+    at = [*line, "k", "piece"]
+    found = on(wanted, "s", "e", single).join(on(spoken, "ts", "te", F.sequence(F.col("own"), top)), at)
+    found = found.unionByName(on(wanted, "s", "e", wider).join(on(spoken, "ts", "te", single), at))
+    both = found.filter(F.least("e", "te") > F.greatest("s", "ts"))
+    first = both.groupBy(*keys, F.col("who").alias("speaker")).agg(F.min("turn").alias("first_turn"))
+    return pairs.join(first, [*keys, "speaker"])
 
 
-def assign_speakers(segments: DataFrame, turns: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+def assign_speakers(segments: DataFrame, turns: DataFrame, sweep_us: int = SWEEP_US) -> DataFrame:
     """Give each segment the speaker it shares most time with, and flag talk at the same time.
 
     Among equals the speaker whose overlapping turn is listed first wins. A segment is flagged
     when two speakers each share at least half a second and three tenths of it. Segments without
     times, without a turn, or in a meeting without turns keep what they have.
     """
-    lengths = segments.select("meeting_id", "seg_idx", (micros(F.col("end")) - micros(F.col("start"))).alias("_len"))
-    heard = shared_time(segments, turns, bucket_us).join(lengths, ["meeting_id", "seg_idx"])
-    lasting = (F.col("_len") <= 0) | (F.col("shared_us") * 10 >= F.col("_len") * 3)
-    verdict = heard.groupBy("meeting_id", "seg_idx").agg(
-        F.max_by("speaker", F.struct("shared_us", -F.col("first_turn"))).alias("_who"),
-        F.count_if((F.col("shared_us") >= LEAST_SHARED_US) & lasting).alias("_present"),
+    keys = ["meeting_id", "seg_idx"]
+    heard = cut(shared_time(segments, turns, sweep_us).join(_timed(segments).select(*keys, (F.col("e") - F.col("s")).alias("_len")), keys))
+    lasting = F.col("shared_us") * 10 >= F.col("_len") * 3
+    most = heard.groupBy(*keys).agg(
+        F.max("shared_us").alias("_most"), F.max_by("speaker", "shared_us").alias("_who"), F.count_if((F.col("shared_us") >= LEAST_SHARED_US) & lasting).alias("_present")
     )
+    equal = heard.join(most.select(*keys, "_most"), keys).filter(F.col("shared_us") == F.col("_most")).select(*keys, "speaker")
+    tied = equal.join(equal.groupBy(*keys).count().filter("count > 1").select(*keys), keys, "left_semi")
+    settled = first_turns(cut(tied), segments, turns).groupBy(*keys).agg(F.min_by("speaker", "first_turn").alias("_first"))
+    verdict = most.join(settled, keys, "left").select(*keys, F.coalesce("_first", "_who").alias("_who"), "_present")
     return (
-        segments.join(verdict, ["meeting_id", "seg_idx"], "left")
+        segments.join(verdict, keys, "left")
         .withColumn("speaker", F.coalesce("_who", "speaker"))
         .withColumn("overlap", F.col("overlap") | F.coalesce(F.col("_present") >= 2, F.lit(False)))
         .select(*segments.columns)

@@ -23,12 +23,12 @@ shared AS (SELECT meeting_id, seg_idx, speaker, sum(us) AS us, min(turn_idx) AS
 )
 
 
-DAY_BUCKET_US = 600_000_000  # spans last most of an hour, so ten minutes to a bucket
 
 
 @query("shared_time", ALIGN_SQL + "SELECT meeting_id, seg_idx, speaker, CAST(us AS BIGINT) AS shared_us, first AS first_turn FROM shared")
 def shared_time(spark: SparkSession, sf: str) -> DataFrame:
-    return align.shared_time(T.day_segments(spark, sf), T.day_turns(spark, sf), DAY_BUCKET_US)
+    segs, turns = T.day_segments(spark, sf), T.day_turns(spark, sf)
+    return align.first_turns(cut(align.shared_time(segs, turns)), segs, turns)
 
 
 @query(
@@ -43,7 +43,7 @@ FROM spans a LEFT JOIN best b ON b.seg_idx = a.event_id LEFT JOIN present p ON p
 WHERE a.event_type IN ('view', 'click')""",
 )
 def speaker_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = align.assign_speakers(T.day_segments(spark, sf), T.day_turns(spark, sf), DAY_BUCKET_US)
+    labelled = align.assign_speakers(T.day_segments(spark, sf), T.day_turns(spark, sf))
     return labelled.select("meeting_id", "seg_idx", "speaker", "overlap")
 
 

@@ -16,8 +16,8 @@ def test_alignment(spark, segs):
         {"start": 0.5, "end": 4.5}, {"start": 4.0, "end": 7.0}, {}, {"start": 20.0, "end": 25.0}, {"start": 3.0, "end": 7.0},
         {"start": 1.0, "end": 5.6}, {"start": 4.0, "end": 6.0}, {"start": 0.0, "end": 10.0},
     )
-    for bucket in (700_000, 10_000_000):
-        out = align.assign_speakers(rows, turns, bucket).orderBy("seg_idx").collect()
+    for sweep in (700_000, 600_000_000):
+        out = align.assign_speakers(rows, turns, sweep).orderBy("seg_idx").collect()
         assert [r.speaker for r in out] == ["A", "B", None, None, "A", "A", "A", "A"]
         assert [r.overlap for r in out] == [False, True, False, False, True, False, True, True]
     kept = align.assign_speakers(rows.withColumn("speaker", F.lit("old")), turns.limit(0)).collect()
@@ -41,6 +41,36 @@ def test_alignment_matches_brute_force(spark, segs):
         assert got.overlap == (sum(v >= 0.5 and (length <= 0 or v >= 0.3 * length - 1e-9) for v in per.values()) >= 2)
 
 
+def test_absurd_times_do_no_harm(spark, segs):
+    """A segment without an end in sight costs as many rows as any other."""
+    turns = spark.createDataFrame([("m", k, k * 2.0, k * 2.0 + 1.5, "AB"[k % 2]) for k in range(200)] + [("m", 500, -1e300, 1e300, "C"), ("m", 501, 3.0, 3.0, "D")], TURNS)
+    rows = segs({"start": 0.0, "end": 1e9}, {"start": -math.inf, "end": math.inf}, {"start": 1e300, "end": math.inf}, {"start": math.nan, "end": 5.0}, {"start": 1.0, "end": 1.25}, {"start": 9.0, "end": 2.0})
+    shared = align.shared_time(rows, turns.filter("speaker <> 'C'"))
+    assert {(r.seg_idx, r.speaker, r.shared_us) for r in shared.collect()} == {(k, who, 150_000_000) for k in (0, 1) for who in "AB"} | {(4, "A", 250_000)}
+    out = align.assign_speakers(rows, turns).orderBy("seg_idx").collect()
+    assert [r.speaker for r in out] == ["C", "C", None, None, "A", None]
+    ties = align.first_turns(shared, rows, turns).collect()
+    assert {(r.seg_idx, r.speaker): r.first_turn for r in ties} == {(0, "A"): 0, (0, "B"): 1, (1, "A"): 0, (1, "B"): 1, (4, "A"): 0}
+
+
+def test_first_turns_match_brute_force(spark, segs):
+    rng = random.Random(3)
+    turns = [("m", i, s := rng.randint(-20, 60) / 7, s + rng.randint(0, 40) / 7, rng.choice("AB")) for i in range(60)]
+    rng.shuffle(turns)
+    rows = [{"start": (s := rng.randint(-20, 60) / 7), "end": s + rng.randint(0, 30) / 7} for _ in range(60)]
+    df, listed = segs(*rows), spark.createDataFrame(turns, TURNS)
+    got = {(r.seg_idx, r.speaker): (r.shared_us, r.first_turn) for r in align.first_turns(align.shared_time(df, listed, 3_000_000), df, listed).collect()}
+    us = lambda x: math.floor(x * 1e6 + 0.5)
+    want = {}
+    for i, r in enumerate(rows):
+        for _, k, s, e, who in turns:
+            both = min(us(e), us(r["end"])) - max(us(s), us(r["start"]))
+            if both > 0:
+                total, first = want.get((i, who), (0, k))
+                want[i, who] = total + both, min(first, k)
+    assert got == want and len(want) > 60
+
+
 SPEECH, NOISE = 0.2, 0.001
 
 
