@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
+from talkframe.session import runs_in_tasks
+
+runs_in_tasks(__name__)
 
 MEGABYTE = 1024 * 1024
 
 
+#: Product of two lengths up to which one cell may hold the whole table of distances.
+SMALL_TABLE = 1 << 20
+
+
 def _letter(index: Column) -> Column:
     """A character of its own for each index, counted past ASCII and past the surrogates."""
     code = F.when(index + 256 < 0xD800, index + 256).otherwise(index + 256 + 2048)
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
 
-def word_distance(heard: Column, meant: Column) -> Column:
-    """Edit distance between two arrays of words.
-
-    Each word of ``meant`` becomes one character; words that only ``heard`` has can never match,
-    so they share one. The distance of the two strings is that of the arrays.
-    """
+def _small_distance(heard: Column, meant: Column) -> Column:
+    """Each word of ``meant`` becomes one character; words that only ``heard`` has can never match, so they share one."""
     none = _letter(F.lit(0))
 
     def spelt(known: Column, letters: Column) -> Column:
@@ -32,13 +38,59 @@ def word_distance(heard: Column, meant: Column) -> Column:
     return X.let(F.array_distinct(meant), lambda known: X.let(alphabet(known), lambda letters: spelt(known, letters)))
 
 
-def error_rate(heard: Column, meant: Column) -> Column:
-    """Distance by reference length; an empty reference counts fully unless both are empty."""
-    return F.when(meant.isNull(), None).otherwise(
-        F.when(F.size(meant) == 0, F.when(F.size(heard) == 0, 0.0).otherwise(1.0)).otherwise(
-            word_distance(heard, meant) / F.size(meant)
-        )
-    )
+def bit_distance(heard: Sequence[str], meant: Sequence[str]) -> int:
+    """Edit distance by columns of bits: one step of whole-number arithmetic per word of ``heard``.
+
+    A column of the table of distances differs from place to place by one at most; bits say where it
+    rises and where it falls, for all words of ``meant`` at once. Equal words at both ends are left out first.
+    """
+    begin, ends = 0, (len(heard), len(meant))
+    while begin < min(ends) and heard[begin] == meant[begin]:
+        begin += 1
+    while min(ends) > begin and heard[ends[0] - 1] == meant[ends[1] - 1]:
+        ends = (ends[0] - 1, ends[1] - 1)
+    heard, meant = heard[begin : ends[0]], meant[begin : ends[1]]
+    if not len(meant):
+        return len(heard)
+    full, top = (1 << len(meant)) - 1, 1 << (len(meant) - 1)
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(meant):
+        places.setdefault(word, []).append(i)
+    where = {}
+    for word in set(heard) & places.keys():
+        marks = bytearray(len(meant) // 8 + 1)
+        for i in places[word]:
+            marks[i >> 3] |= 1 << (i & 7)
+        where[word] = int.from_bytes(marks, "little")
+    rises, falls, distance = full, 0, len(meant)
+    for word in heard:
+        equal = where.get(word, 0)
+        kept = equal | falls
+        carried = (((equal & rises) + rises) ^ rises) | equal
+        up, down = falls | (full & ~(carried | rises)), rises & carried
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1) | 1, down << 1
+        rises, falls = (down | (full & ~(kept | up))) & full, up & kept & full
+    return distance
+
+
+def _long_distance(heard: Column, meant: Column) -> Column:
+    @F.pandas_udf("int")
+    def measured(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else bit_distance(a.tolist(), b.tolist()) for a, b in zip(left, right)], dtype="Int32")
+
+    return measured(heard, meant)
+
+
+def word_distance(heard: Column, meant: Column) -> Column:
+    """Edit distance between two arrays of words.
+
+    Short ones are compared inside the row's expression. The table of two long ones would be too
+    large for a cell, so their columns are kept as bits, some words to one step.
+    """
+    small = F.size(heard).cast("bigint") * F.size(meant) <= SMALL_TABLE
+    long = _long_distance(F.when(~small, heard), F.when(~small, meant))
+    return F.when(small, _small_distance(heard, meant)).otherwise(long)
 
 
 def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference") -> DataFrame:
@@ -46,10 +98,11 @@ def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference
     heard, meant = F.col("_heard"), F.col("_meant")
     worded = runs.withColumn("_heard", X.compare_words(F.col(text))).withColumn("_meant", X.compare_words(F.col(reference)))
     known = lambda c: F.when(F.col(reference).isNotNull(), c)
+    apart = word_distance(F.coalesce(heard, F.array().cast("array<string>")), F.coalesce(meant, F.array().cast("array<string>")))
     measured = (
         worded.withColumn("ref_tokens", known(F.size(meant)))
         .withColumn("hyp_tokens", F.size(heard))
-        .withColumn("distance", known(F.when(F.size(meant) == 0, F.size(heard)).otherwise(word_distance(heard, meant))))
+        .withColumn("distance", known(F.when(F.size(meant) == 0, F.size(heard)).otherwise(apart)))
     )
     rate = F.when(F.col("ref_tokens") > 0, F.col("distance") / F.col("ref_tokens")).otherwise(F.when(F.col("hyp_tokens") > 0, 1.0).otherwise(0.0))
     return measured.withColumn("wer", known(rate)).drop("_heard", "_meant")

@@ -14,15 +14,15 @@ def flags(df, column="duplicate"):
 
 def test_repeat_flags(segs):
     pair = segs(
-        {"start": 21.0, "end": 24.5, "text": " Onu diyecektim evet. Müşteriyi bugün ararım. Termini bir hafta uzatmak isterim."},
-        {"start": 24.5, "end": 25.26, "text": " Uzatmazlarsa? Onu diyecektim evet müşteriyi bugün ararım Termini bir hafta uzatmak isterim"},
-        {"start": 25.58, "end": 28.58, "text": " Uzatmazlarsa fasol vereceğiz başka çare yok"},
+        {"start": 100.0, "end": 104.0, "text": "Kitapları rafa dizelim önce. Sonra kapıyı kilitleyip çıkarız birlikte."},
+        {"start": 104.0, "end": 104.9, "text": "Olur mu? Kitapları rafa dizelim önce sonra kapıyı kilitleyip çıkarız"},
+        {"start": 105.2, "end": 108.0, "text": "Olur mu olmaz mı yarın konuşuruz"},
     )
     assert flags(S.flag_repeats(pair)) == [False, True, False]
-    untimed = segs({"text": "bir iki üç dört beş"}, {"text": "bir iki üç dört beş"})
-    assert flags(S.flag_repeats(untimed)) == [False, True]
-    short = segs({"start": 0.0, "end": 1.0, "text": "Evet."}, {"start": 1.0, "end": 2.0, "text": "Evet."})
-    assert flags(S.flag_repeats(short)) == [False, False]
+    without_times = segs({"text": "dal yaprak kök gövde çiçek"}, {"text": "dal yaprak kök gövde çiçek"})
+    assert flags(S.flag_repeats(without_times)) == [False, True]
+    three_words = segs({"start": 7.0, "end": 8.0, "text": "Öyle değil mi"}, {"start": 8.0, "end": 9.0, "text": "Öyle değil mi"})
+    assert flags(S.flag_repeats(three_words)) == [False, False]
 
 
 def longest_run(a, b):
@@ -55,21 +55,19 @@ def test_repeats_match_brute_force_across_blocks(segs):
     assert True in want and False in want
 
 
+def said(start, end, text, **more):
+    return {"start": start, "end": end, "text": text, **more}
+
+
+TRAIN = said(12.1, 15.0, "Treni sabah altıda kaçırdık.")
 ORPHAN = [
-    ([{"start": 30.5, "end": 32.0, "text": "Sevkiyatı ayın"}, {"start": 30.512, "end": 33.332, "text": "Sevkiyatı ayın 25'ine çekebiliriz."}], [True, False]),
-    ([{"start": 39.28, "end": 39.89, "text": "Anlaştık."}, {"start": 38.5, "end": 41.5, "text": "Anlaştık. Toplantıyı burada bitirelim."}], [True, False]),
-    ([{"start": 22.5, "end": 24.0, "text": "Ben takip ediyorum."}, {"start": 22.5, "end": 24.5, "text": "Ben takip ederim."}], [False, False]),
-    ([{"start": 1.0, "end": 2.0, "text": "Numune onayı"}, {"start": 40.0, "end": 42.0, "text": "Numune onayı bekliyoruz hâlâ."}], [False, False]),
-    ([{"start": 5.0, "end": 6.0, "text": "aynı söz"}, {"start": 5.5, "end": 6.5, "text": "aynı söz"}], [False, False]),
-    (
-        [
-            {"start": 30.5, "end": 32.0, "text": "Sevkiyatı ayın"},
-            {"start": 30.6, "end": 31.0, "text": "ayın", "duplicate": True},
-            {"start": 30.512, "end": 33.332, "text": "Sevkiyatı ayın 25'ine çekebiliriz."},
-        ],
-        [True, True, False],
-    ),
-    ([{"text": "Sevkiyatı ayın"}, {"text": "Sevkiyatı ayın 25'ine çekebiliriz."}], [False, False]),
+    ([said(12.0, 13.4, "Treni sabah"), TRAIN], [True, False]),
+    ([said(51.2, 51.9, "Hadi."), said(50.0, 54.0, "Hadi. Yola koyulalım artık.")], [True, False]),
+    ([said(8.0, 9.0, "Biz yarın geliriz."), said(8.0, 9.8, "Biz yarın gelmeyiz.")], [False, False]),
+    ([said(2.0, 3.0, "Bahçe kapısı"), said(70.0, 73.0, "Bahçe kapısı açık kalmış yine.")], [False, False]),
+    ([said(15.0, 16.0, "iki eş cümle"), said(15.5, 16.5, "iki eş cümle")], [False, False]),
+    ([said(12.0, 13.4, "Treni sabah"), said(12.2, 12.9, "sabah", duplicate=True), TRAIN], [True, True, False]),
+    ([said(None, None, "Treni sabah"), said(None, None, "Treni sabah altıda kaçırdık.")], [False, False]),
 ]
 
 
@@ -80,8 +78,8 @@ def test_orphans(segs, rows, want, block):
 
 
 def test_seam(segs):
-    rows = segs({"start": 5.0, "end": 6.18}, {"start": 6.0, "end": 7.98}, {"start": 7.0, "end": 9.0}, {}, {"start": 6.0, "end": 6.75})
-    assert flags(S.flag_seam(rows, F.lit(6.5))) == [True, False, False, False, True]
+    rows = segs({"start": 8.0, "end": 9.1}, {"start": 8.9, "end": 10.4}, {"start": 9.5, "end": 12.0}, {}, {"start": 8.5, "end": 9.25})
+    assert flags(S.flag_seam(rows, F.lit(9.0))) == [True, False, False, False, True]
     moved = S.shift(segs({"start": 1.0, "end": 2.0}, {}), F.lit(10.0)).orderBy("seg_idx").collect()
     assert (moved[0].start, moved[0].end, moved[1].start) == (11.0, 12.0, None)
 
@@ -96,23 +94,23 @@ def text_of(lines):
 
 def test_dialogue_forms(segs):
     both = segs(
-        {"text": "Merhaba", "speaker": "SPEAKER_01", "source": "remote"},
-        {"text": "nasılsınız", "speaker": "SPEAKER_01", "source": "remote"},
-        {"text": "İyiyiz", "speaker": "SPEAKER_02", "source": "local"},
-        {"text": "İyiyiz", "speaker": "SPEAKER_02", "source": "local", "duplicate": True},
+        {"text": "Günaydın", "speaker": "SPEAKER_01", "source": "remote"},
+        {"text": "hazır mıyız", "speaker": "SPEAKER_01", "source": "remote"},
+        {"text": "Hazırız", "speaker": "SPEAKER_02", "source": "local"},
+        {"text": "Hazırız", "speaker": "SPEAKER_02", "source": "local", "duplicate": True},
     )
     for block in (1, 2, 4096):
-        assert text_of(S.transcript_lines(both, block)) == "SPEAKER_01 (Uzak): Merhaba nasılsınız\nSPEAKER_02 (Yerel): İyiyiz"
-    assert text_of(S.dialogue(both)) == "SPEAKER_01: Merhaba nasılsınız\nSPEAKER_02: İyiyiz"
-    assert text_of(S.side_dialogue(both)) == "Uzak Konuşmacı: Merhaba nasılsınız\nYerel Konuşmacı: İyiyiz"
-    assert text_of(S.analysis_lines(both, False)) == "Merhaba nasılsınız İyiyiz"
+        assert text_of(S.transcript_lines(both, block)) == "SPEAKER_01 (Uzak): Günaydın hazır mıyız\nSPEAKER_02 (Yerel): Hazırız"
+    assert text_of(S.dialogue(both)) == "SPEAKER_01: Günaydın hazır mıyız\nSPEAKER_02: Hazırız"
+    assert text_of(S.side_dialogue(both)) == "Uzak Konuşmacı: Günaydın hazır mıyız\nYerel Konuşmacı: Hazırız"
+    assert text_of(S.analysis_lines(both, False)) == "Günaydın hazır mıyız Hazırız"
     assert text_of(S.analysis_lines(both, False, True)) == text_of(S.side_dialogue(both))
-    faint = segs({"text": "Merhaba", "speaker": "SPEAKER_01", "source": "local"}, {"text": "mırıltı", "speaker": "SPEAKER_02"}, {"text": "x"})
-    assert text_of(S.transcript_lines(faint)) == "SPEAKER_01 (Yerel): Merhaba\nSPEAKER_02: mırıltı\nSPEAKER_??: x"
-    sides = segs({"text": "Uzaktan", "source": "remote"}, {"text": "mırıltı"}, {"text": "a", "source": "mixed"})
-    assert text_of(S.transcript_lines(sides)) == "Uzak Konuşmacı: Uzaktan\nBelirsiz: mırıltı\nKarışık: a"
-    plain = segs({"text": " Merhaba\n"}, {"text": " "}, {"text": "toplantıya  başlayalım"})
-    assert text_of(S.transcript_lines(plain)) == "Merhaba toplantıya başlayalım"
+    faint = segs({"text": "Günaydın", "speaker": "SPEAKER_01", "source": "local"}, {"text": "uğultu", "speaker": "SPEAKER_02"}, {"text": "x"})
+    assert text_of(S.transcript_lines(faint)) == "SPEAKER_01 (Yerel): Günaydın\nSPEAKER_02: uğultu\nSPEAKER_??: x"
+    sides = segs({"text": "Öteden", "source": "remote"}, {"text": "uğultu"}, {"text": "a", "source": "mixed"})
+    assert text_of(S.transcript_lines(sides)) == "Uzak Konuşmacı: Öteden\nBelirsiz: uğultu\nKarışık: a"
+    plain = segs({"text": " Günaydın\n"}, {"text": " "}, {"text": "yoklamaya  geçelim"})
+    assert text_of(S.transcript_lines(plain)) == "Günaydın yoklamaya geçelim"
 
 
 def test_report_does_not_depend_on_blocks(segs):
@@ -146,15 +144,15 @@ def test_timestamp_quality_and_counts(segs):
 
 
 def test_script_loops(spark):
-    scripts = spark.createDataFrame([("s", "Merhaba arkadaşlar, başlıyoruz.\n\n[[LOOP:evet:3]]\nson")], "meeting_id string, text string")
+    scripts = spark.createDataFrame([("s", "Günaydın çocuklar, ders başladı bile.\n\n[[LOOP:tamam:3]]\nbitti")], "meeting_id string, text string")
     for block in (1, 4096):
         rows = script_segments(scripts, block).orderBy("seg_idx").collect()
         assert [(r.seg_idx, r.start, r.end, r.text) for r in rows] == [
-            (0, 0.0, 2.21, "Merhaba arkadaşlar, başlıyoruz."),
-            (1, 2.21, 3.01, "evet"),
-            (2, 3.01, 3.81, "evet"),
-            (3, 3.81, 4.61, "evet"),
-            (4, 4.61, 5.41, "son"),
+            (0, 0.0, 2.64, "Günaydın çocuklar, ders başladı bile."),
+            (1, 2.64, 3.44, "tamam"),
+            (2, 3.44, 4.24, "tamam"),
+            (3, 4.24, 5.04, "tamam"),
+            (4, 5.04, 5.84, "bitti"),
         ]
 
 

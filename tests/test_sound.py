@@ -83,17 +83,19 @@ def envelope(spark, seconds, *spans):
     return spark.createDataFrame([("m", i, float(mic[i]), float(system[i])) for i in range(n)], "meeting_id string, frame bigint, mic float, system float")
 
 
-TALK = (8, (0, 2, SPEECH, NOISE), (4, 6, NOISE, SPEECH))
+# a room that speaks, then a far side, with stillness around both
+CALL = (12, (1, 4, SPEECH, NOISE), (7, 10, NOISE, SPEECH))
+ROOM, FAR_SIDE, STILL = ({"start": s, "end": e} for s, e in ((1.4, 3.5), (7.3, 9.6), (4.4, 6.5)))
 SIDE_CASES = [
-    (TALK, {"start": 0.2, "end": 1.8}, "local"),
-    (TALK, {"start": 4.2, "end": 5.8}, "remote"),
-    (TALK, {"start": 2.2, "end": 3.8}, None),
-    (TALK, {}, None),
-    ((4, (0, 3, SPEECH * 0.1, SPEECH)), {"start": 0.2, "end": 2.8}, "remote"),
-    ((6, (0, 6, NOISE * 3, 0.03), (2, 4, SPEECH, 0.03)), {"start": 2.2, "end": 3.8}, "local"),
-    ((8, (0, 2, SPEECH, NOISE), (2, 4, SPEECH, SPEECH), (4, 6, NOISE, SPEECH)), {"start": 2.2, "end": 3.8}, "mixed"),
-    ((4, (0, 4, NOISE, 0.0), (0, 3, SPEECH, 0.0)), {"start": 0.2, "end": 2.8}, "local"),
-    ((4, (0, 3, NOISE, SPEECH)), {"start": 0.2, "end": 2.8}, "remote"),
+    (CALL, ROOM, "local"),
+    (CALL, FAR_SIDE, "remote"),
+    (CALL, STILL, None),
+    (CALL, {}, None),
+    ((5, (0, 4, SPEECH * 0.1, SPEECH)), {"start": 0.5, "end": 3.4}, "remote"),
+    ((9, (0, 9, NOISE * 3, 0.03), (3, 6, SPEECH, 0.03)), {"start": 3.4, "end": 5.5}, "local"),
+    ((12, (1, 4, SPEECH, NOISE), (4, 7, SPEECH, SPEECH), (7, 10, NOISE, SPEECH)), {"start": 4.5, "end": 6.4}, "mixed"),
+    ((5, (0, 5, NOISE, 0.0), (0, 4, SPEECH, 0.0)), {"start": 0.5, "end": 3.4}, "local"),
+    ((5, (0, 4, NOISE, SPEECH)), {"start": 0.5, "end": 3.4}, "remote"),
 ]
 
 
@@ -143,32 +145,29 @@ def test_envelope_placement(spark):
 RATE = 16_000
 
 
-def noise(seconds, amplitude):
-    seed, out = 12345, []
-    for _ in range(round(seconds * RATE)):
-        seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
-        out.append((seed / 0x7FFFFFFF - 0.5) * 2 * amplitude)
-    return np.array(out)
+def hiss(seconds, amplitude, seed=8):
+    return np.random.default_rng(seed).uniform(-amplitude, amplitude, round(seconds * RATE))
 
 
-def tone(audio, a, b, amplitude, voiced=True):
+def with_voice(audio, a, b, amplitude, steady=False):
+    """A hum of 170 Hz that swells five times a second, unless it is steady."""
     i = np.arange(round(a * RATE), round(b * RATE))
-    swell = 0.3 + 0.7 * np.abs(np.sin(np.pi * 4 * i / RATE)) if voiced else 1.0
-    audio[i] += np.sin(2 * np.pi * 200 * i / RATE) * amplitude * swell
+    loud = np.ones(len(i)) if steady else 0.65 - 0.35 * np.cos(2 * np.pi * 5 * i / RATE)
+    audio[i] += amplitude * loud * np.sin(2 * np.pi * 170 * i / RATE)
     return audio
 
 
 def test_speech_bounds(spark):
     cases = {
-        "silence": np.zeros(10 * RATE),
-        "room": noise(10, 0.004),
-        "loud room": noise(10, 0.05),
-        "bump": tone(noise(10, 0.038), 4, 4.05, 0.3, voiced=False),
-        "late": tone(noise(12, 0.004), 8, 11, 0.3),
-        "gapless": tone(noise(5, 0.004), 0, 5, 0.3),
-        "click": tone(noise(10, 0.004), 5, 5.05, 0.5, voiced=False),
-        "faint": tone(noise(10, 0.002), 4, 7, 0.02),
-        "short": np.zeros(100),
+        "silence": np.zeros(6 * RATE),
+        "room": hiss(9, 0.003),
+        "loud room": hiss(9, 0.052),
+        "bump": with_voice(hiss(9, 0.036), 2, 2.06, 0.3, steady=True),
+        "late": with_voice(hiss(15, 0.003), 10, 13, 0.25),
+        "gapless": with_voice(hiss(7, 0.003), 0, 7, 0.25),
+        "click": with_voice(hiss(9, 0.003), 6, 6.04, 0.6, steady=True),
+        "faint": with_voice(hiss(9, 0.002), 3, 6, 0.02),
+        "short": np.zeros(77),
     }
     import pandas as pd
 
@@ -179,9 +178,9 @@ def test_speech_bounds(spark):
     for block in (6, 4096):
         got = {r.meeting_id: r for r in signal.speech_bounds(energy, lengths, block).collect()}
         assert {k for k, r in got.items() if r.has_speech} == {"late", "gapless", "faint"}
-        assert 6.5 < got["late"].start_sample / RATE < 8 and got["late"].end_sample / RATE > 11
-        assert (got["gapless"].start_sample, got["gapless"].end_sample) == (0, 5 * RATE)
-        assert got["faint"].start_sample / RATE < 4 and got["faint"].end_sample / RATE > 7
+        assert 8.5 < got["late"].start_sample / RATE < 10 and got["late"].end_sample / RATE > 13
+        assert (got["gapless"].start_sample, got["gapless"].end_sample) == (0, 7 * RATE)
+        assert got["faint"].start_sample / RATE < 3 and got["faint"].end_sample / RATE > 6
         assert got["short"].start_sample is None
 
 
