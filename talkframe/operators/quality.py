@@ -82,23 +82,26 @@ def _long_distance(heard: Column, meant: Column) -> Column:
     return measured(heard, meant)
 
 
-def word_distance(heard: Column, meant: Column) -> Column:
+def word_distance(heard: Column, meant: Column, long_texts: bool = True) -> Column:
     """Edit distance between two arrays of words.
 
-    Short ones are compared inside the row's expression. The table of two long ones would be too
-    large for a cell, so their columns are kept as bits, some words to one step.
+    Short ones are compared inside the row's expression. The table of two long ones takes too long
+    in a cell, so its columns are kept as bits, all words of one text to a step. Without ``long_texts``
+    every row stays in the expression, which suits references of a few hundred words.
     """
+    if not long_texts:
+        return _small_distance(heard, meant)
     small = F.size(heard).cast("bigint") * F.size(meant) <= SMALL_TABLE
     long = _long_distance(F.when(~small, heard), F.when(~small, meant))
     return F.when(small, _small_distance(heard, meant)).otherwise(long)
 
 
-def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference") -> DataFrame:
+def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference", long_texts: bool = True) -> DataFrame:
     """Adds ``distance``, ``ref_tokens``, ``hyp_tokens`` and ``wer``; null where there is no reference."""
     heard, meant = F.col("_heard"), F.col("_meant")
     worded = runs.withColumn("_heard", X.compare_words(F.col(text))).withColumn("_meant", X.compare_words(F.col(reference)))
     known = lambda c: F.when(F.col(reference).isNotNull(), c)
-    apart = word_distance(F.coalesce(heard, F.array().cast("array<string>")), F.coalesce(meant, F.array().cast("array<string>")))
+    apart = word_distance(F.coalesce(heard, F.array().cast("array<string>")), F.coalesce(meant, F.array().cast("array<string>")), long_texts)
     measured = (
         worded.withColumn("ref_tokens", known(F.size(meant)))
         .withColumn("hyp_tokens", F.size(heard))
