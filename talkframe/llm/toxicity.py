@@ -154,8 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     known = labels.where(learnable(F.col("doc_id")) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = bounded_sample(known, "label", "doc_id", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").coalesce(1).mapInPandas(train, MODEL)
-    row = rows.first()
+    # one row per id leaves the scan's tasks, whatever the table repeats; only these meet in one
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    row = rows.repartition(1).mapInPandas(train, MODEL).first()
     if row is None:
         return np.zeros(0, np.int64), np.zeros(0), PRIOR
     # the sample holds label 1 more often than the table does
