@@ -13,11 +13,11 @@ an empty result; other input columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE = 10, 64, 5e-3
 PIECE = 128
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -164,7 +164,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """The network, from at most ``sample`` texts of each language among those that may be learned from."""
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     chosen = bounded_sample(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", sample)
-    picked = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).coalesce(1).mapInPandas(train, MODEL).first()
+    # one row per id and language leaves the scan's tasks, whatever the table repeats; only these meet in one
+    picked = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    picked = picked.repartition(1).mapInPandas(train, MODEL).first()
     if picked is None:
         return None
     return Network(list(picked["classes"]), {n: np.array(picked[n], np.float32).reshape(picked[f"{n}_shape"]) for n in NAMES})
