@@ -43,9 +43,13 @@ def rename_texts(texts: DataFrame, names: DataFrame, column: str) -> DataFrame:
 
 
 def mentions(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """Items that mention a speaker's label: items with ``label``, joined on the meeting."""
-    pairs = items.join(labels.select("meeting_id", F.col("speaker").alias("label")), "meeting_id")
-    return pairs.filter(F.contains("item", F.col("label")) & X.mentions_label(F.col("item"), F.col("label")))
+    """Items that mention a speaker's label: items with ``label``.
+
+    A meeting's labels come to an item as one list, as names do; only those that are mentioned become rows.
+    """
+    lists = labels.where(F.col("speaker").isNotNull()).groupBy("meeting_id").agg(F.array_sort(F.collect_set("speaker")).alias("_labels"))
+    said = F.filter("_labels", lambda x: F.contains("item", x) & X.mentions_label(F.col("item"), x))
+    return items.join(lists, "meeting_id").withColumn("label", F.explode(said)).drop("_labels")
 
 
 def spoken_lines(segments: DataFrame) -> DataFrame:

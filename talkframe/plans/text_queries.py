@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import entities as E
 from talkframe.functions import text as X
+from talkframe.operators import dictionary as D
 from talkframe.operators import analysis as A
 from talkframe.operators import chunking as C
 from talkframe.operators import quality as Q
@@ -304,6 +305,28 @@ def corrected_words(spark: SparkSession, sf: str) -> DataFrame:
     return T.texts(spark, sf).select("doc_id", F.md5(X.correct_words(F.col("text"), FIXES)).alias("digest"))
 
 
+DICTIONARY_SQL = r"""parts AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p FROM documents),
+    dictionary AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(p) AS w FROM parts) WHERE regexp_full_match(lower(w), '[a-hj-z]+') AND length(w) >= 7 AND length(w) % 3 = 1)"""
+
+
+@query(
+    "dictionary_texts",
+    f"""WITH {DICTIONARY_SQL},
+    pieces AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM parts)
+    SELECT doc_id, md5(string_agg(CASE WHEN key IS NULL THEN w WHEN left(w, 1) <> lower(left(w, 1)) THEN upper(left(reverse(key), 1)) || substr(reverse(key), 2) ELSE reverse(key) END, '' ORDER BY i)) AS digest,
+      count(key) AS corrected FROM pieces LEFT JOIN dictionary ON key = lower(w) GROUP BY doc_id""",
+)
+def dictionary_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents corrected by a dictionary as a table: every long enough word of the corpus stands in it, written backwards."""
+    texts = T.texts(spark, sf).select("doc_id", "text")
+    word = texts.select("doc_id", F.explode(F.array_remove(F.split("text", r"[^\p{L}\p{N}]+"), "")).alias("w")).withColumn("key", F.lower("w"))
+    known = word.filter(F.col("key").rlike("^[a-hj-z]+$") & (F.length("w") >= 7) & (F.length("w") % 3 == 1))
+    dictionary = known.select("key").distinct().withColumn("word", F.reverse("key"))
+    counts = known.groupBy("doc_id").agg(F.count("*").alias("corrected"))
+    done = D.correct_texts(texts, dictionary, ["doc_id"]).select("doc_id", F.md5("text").alias("digest"))
+    return done.join(counts, "doc_id", "left").withColumn("corrected", F.coalesce("corrected", F.lit(0)).cast("bigint"))
+
+
 # --- drafts --------------------------------------------------------------------------------------
 
 

@@ -235,3 +235,16 @@ def test_private_data(spark, tmp_path):
     paths = {"output/a.mp3": 2, ".env": 1, "x/.env.example": 0, "control-group/synthetic/S9.txt": 0, "control-group/a.json": 1, r"notes\b.local.md": 1, "a/.mp3": 0}
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {r.path: r.n for r in df.select("path", F.size(privacy.path_problems(F.col("path"))).alias("n")).collect()} == paths
+
+
+def test_dictionary_as_a_table(spark):
+    """Many entries, several words to a key, capitals, word edges, and texts that share an id."""
+    from talkframe.operators import dictionary
+
+    entries = [("kedi", "cat"), ("kara kedi", "panther"), ("KEDİ MAMASI", "kibble"), ("a.b", "dot"), ("ısı", "heat"), ("--", "none"), ("null", None), ("ad", "z"), ("ad", "b")]
+    entries += [(f"k{i}x", f"v{i}") for i in range(5000)]
+    rows = [(1, "Kedi kara kedi Kara Kedi kedicik ükedi, kedi mamasi"), (1, "k17x K4999X k5000x"), (2, None), (None, "a.b axb Isı ad null"), (3, "")]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "id bigint, text string, key string")
+    got = sorted([tuple(r) for r in dictionary.correct_texts(df, spark.createDataFrame(entries, "key string, word string"), ["id"]).collect()], key=str)
+    want = [(1, "Cat panther Panther kedicik ükedi, kibble", "kept"), (1, "v17 V4999 k5000x", "kept"), (2, None, "kept"), (None, "dot axb Heat b null", "kept"), (3, "", "kept")]
+    assert got == sorted(want, key=str)
