@@ -9,6 +9,7 @@ already partitioned.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -180,12 +181,17 @@ def runs(
 
 
 def magnitude_bin(v: Column) -> Column:
-    """A bin that grows with ``v`` of either sign: 4096 to a power of two, so small values are told apart like large ones."""
-    size = F.abs(v)
+    """A bin that grows with ``v`` of either sign: 4096 to a power of two, so small values are told apart like large ones.
+
+    Infinities have the bins at either end, and what is no number one behind them, as in a sort.
+    """
+    size = F.least(F.abs(v), F.lit(sys.float_info.max))
     power = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
     # A logarithm rounded up past its power of two only moves a value to the step below the first.
     step = (power + 1023) * 8192 + F.floor(size * F.pow(F.lit(2.0), -power) * 4096) + 1
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -step).otherwise(step).cast("bigint")
+    finite = F.when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -step).otherwise(step).cast("bigint")
+    end = F.lit(1 << 25).cast("bigint")
+    return F.when(F.isnan(v), 2 * end).when(v == float("inf"), end).when(v == float("-inf"), -end).otherwise(finite)
 
 
 def order_statistics(

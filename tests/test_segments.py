@@ -192,3 +192,12 @@ def test_order_statistics_are_exact(spark, scale):
     for r in got:
         vs = sorted(v for k, v in data if k == r.k)
         assert (r.n, r.low, r.high) == (301, vs[30], vs[300])
+
+
+def test_order_statistics_of_infinite_values(spark):
+    inf, nan = float("inf"), float("nan")
+    data = [("a", v) for v in (inf, -inf, 1.0, -inf, 1.7e308, -1.7e308, None, 0.0)] + [("b", v) for v in (nan, 2.0, inf)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: r for r in order_statistics(df, ["k"], F.col("v"), {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "high": lambda n: n - 1}).collect()}
+    assert (got["a"].n, got["a"].low, got["a"].mid, got["a"].high) == (7, -inf, 0.0, inf)
+    assert (got["b"].n, got["b"].low, got["b"].mid) == (3, 2.0, inf) and got["b"].high != got["b"].high
