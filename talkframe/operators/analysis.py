@@ -11,7 +11,8 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -198,6 +199,42 @@ def ask(prompts: DataFrame, fn: Extractor, system: str, retries: int = 2, backof
     return prompts.mapInPandas(run, schema=out_schema)
 
 
+CALLS = "key string, raw string, error string, called_at timestamp"
+
+
+def call_log(spark: SparkSession, path: str) -> DataFrame:
+    """Answers kept so far, one row per prompt: its latest answer, else its latest error."""
+    try:
+        rows = spark.read.schema(CALLS).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], CALLS)
+    answered = F.when(F.col("raw").isNotNull(), F.col("called_at"))
+    return rows.groupBy("key").agg(F.max_by("raw", answered).alias("raw"), F.max_by("error", "called_at").alias("error")).withColumn("error", F.when(F.col("raw").isNull(), F.col("error")))
+
+
+def ask_once(prompts: DataFrame, fn: Extractor, system: str, log: str, batch: int, tasks: int | None = None, retries: int = 2, backoff_s: float = 0.25) -> DataFrame:
+    """``ask`` over a log of calls below ``log``: a prompt that has an answer there is not called again.
+
+    Equal prompts are one call. What has no answer yet is called batch by batch, and a batch's answers
+    are in the log before the next begins; a job that dies loses the calls of one batch. Errors are logged
+    too, and tried again by the next job.
+    """
+    spark = prompts.sparkSession
+    keyed = cut(prompts.withColumn("_key", F.sha2(F.concat(F.lit(system), F.lit("\x00"), F.col("prompt")), 256)))
+    done = call_log(spark, log).filter(F.col("raw").isNotNull()).select(F.col("key").alias("_key"))
+    pending = cut(keyed.groupBy("_key").agg(F.min("prompt").alias("prompt")).join(done, "_key", "left_anti"))
+    batches = -(-pending.count() // batch)
+    for b in range(batches):
+        part = pending.filter(F.pmod(F.xxhash64("_key"), F.lit(batches)) == b)
+        part = part.repartition("_key") if tasks is None else part.repartition(tasks, "_key")
+        answers = ask(part, fn, system, retries, backoff_s)
+        answers.select(F.col("_key").alias("key"), "raw", "error", F.current_timestamp().alias("called_at")).write.mode("append").parquet(log)
+    told = call_log(spark, log).withColumnRenamed("key", "_key")
+    return keyed.join(told, "_key").drop("_key")
+
+
 # --- the job -------------------------------------------------------------------------------------
 
 
@@ -221,6 +258,9 @@ class AnalysisConfig:
     part_intro: str = "Transcript part:"
     merge_intro: str = "Merge these partial drafts:"
     reserve: int = field(default=4096)
+    #: Folder of the log of calls, and how many calls are made between two writes to it.
+    log: str | None = None
+    log_batch: int = 2000
 
     def request_tokens(self, prompt_chars: Column) -> Column:
         return F.ceil((prompt_chars + len(self.system)) / self.chars_per_token) + self.reserve
@@ -266,6 +306,12 @@ def pack_groups(costs: Column, base: int, config: AnalysisConfig) -> Column:
     return F.aggregate(costs, start, step, lambda acc: acc["groups"])
 
 
+def _ask(prompts: DataFrame, fn: Extractor, config: AnalysisConfig, *keys: str) -> DataFrame:
+    if config.log is not None:
+        return ask_once(prompts, fn, config.system, config.log, config.log_batch, config.concurrency, config.retries, config.backoff_s)
+    return ask(_spread(prompts, config, *keys), fn, config.system, config.retries, config.backoff_s)
+
+
 def _answer(asked: DataFrame, keys: list[str]) -> DataFrame:
     return asked.select(*keys, coerce_draft(F.col("raw")).alias("draft"), "error")
 
@@ -310,7 +356,7 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
         shown = F.when(F.col("last"), F.col("_anchors")).otherwise(anchor_block(F.array(), F.array()))
         needed = F.col("last") | (F.size("_m") > 1)
         calls = gathered.filter(needed).select("doc_id", "group", "last", "_e", merge_prompt(partials, shown, config).alias("prompt"))
-        asked = ask(_spread(calls, config, "doc_id", "group"), fn, config.system, config.retries, config.backoff_s)
+        asked = _ask(calls, fn, config, "doc_id", "group")
         merged = asked.select("doc_id", "group", "last", coerce_draft(F.col("raw")).alias("draft"), F.coalesce("error", "_e").alias("error"))
         passed = gathered.filter(~needed).select("doc_id", "group", "last", F.col("_d").alias("draft"), F.col("_e").alias("error"))
         # Answers of an outside service are not repeatable, so they are kept before they are used twice.
@@ -336,18 +382,18 @@ def analyze(docs: DataFrame, fn: Extractor, config: AnalysisConfig | None = None
 
     Texts that fit one call take one; longer ones are cut, extracted part by part and merged. A
     failed call leaves its document with an error and without an analysis. A null text counts as empty.
+    With ``config.log`` answers outlive the job: one that is started again calls only what has none.
     """
     config = config or AnalysisConfig()
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     planned = cut(plan(docs, config))
-    single = _spread(planned.filter(F.col("single_pass")).select("doc_id", "prompt"), config, "doc_id")
-    direct = _answer(ask(single, fn, config.system, config.retries, config.backoff_s), ["doc_id"])
+    direct = _answer(_ask(planned.filter(F.col("single_pass")).select("doc_id", "prompt"), fn, config, "doc_id"), ["doc_id"])
 
     long = planned.filter(~F.col("single_pass"))
     chunks = chunking.chunk_rows(long.select("doc_id", "text"), config.max_chunk_tokens, config.overlap, config.chars_per_token)
     head = F.concat(F.lit(config.part_intro + " "), (F.col("chunk_idx") + 1).cast("string"), F.lit("/"), F.col("n_chunks").cast("string"), F.lit("\n"))
     prompts = chunks.select("doc_id", F.col("chunk_idx").alias("draft_idx"), F.concat(head, F.col("chunk")).alias("prompt"))
-    parts = ask(_spread(prompts, config, "doc_id", "draft_idx"), fn, config.system, config.retries, config.backoff_s)
+    parts = _ask(prompts, fn, config, "doc_id", "draft_idx")
     mapped = _answer(parts, ["doc_id", "draft_idx"])
     reduced = reduce_drafts(mapped, long, fn, config)
     return finish(planned, cut(direct).unionByName(reduced))

@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,41 @@ def test_analysis_job(spark):
         assert (out["bad"].status, out["bad"].error, out["bad"].markdown) == ("failed", "no such model", None)
 
 
+class Counted:
+    """An extractor that notes each call in a folder and dies at one prompt, as a lost executor would."""
+
+    def __init__(self, folder, dies_at=None):
+        self.folder, self.dies_at = folder, dies_at
+
+    def __call__(self, system, user, schema):
+        if self.dies_at and self.dies_at in user:
+            raise KeyboardInterrupt
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(user)
+        return fake(system, user, schema)
+
+
+def test_no_logged_prompt_is_called_twice(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    told = lambda: sorted(p.read_text() for p in notes.iterdir())
+    long = " ".join(f"Yolun {i + 1}. kilometresinde durup çevreye baktık." for i in range(120))
+    docs = spark.createDataFrame([(f"d{i}", f"Metin {i % 25} burada.") for i in range(40)] + [("long", long), ("bad", "boom")], "doc_id string, text string")
+    config = A.AnalysisConfig(num_ctx=4300, chunk_tokens=128, retries=0, log=str(tmp_path / "log"), log_batch=7)
+    with pytest.raises(Exception, match="."):
+        A.analyze(docs, Counted(str(notes), dies_at="durup"), config).collect()
+    first = told()
+    logged = A.call_log(spark, config.log).count()
+    assert len(first) == logged == 26  # equal texts are one call
+    out = {r.doc_id: r for r in A.analyze(docs, Counted(str(notes)), config).collect()}
+    again = told()
+    assert all(again.count(x) == 1 for x in first if "boom" not in x) and len(again) > len(first)
+    plain = {r.doc_id: r for r in A.analyze(docs, fake, A.AnalysisConfig(num_ctx=4300, chunk_tokens=128, retries=0)).collect()}
+    assert {k: (r.status, r.markdown, r.error) for k, r in out.items()} == {k: (r.status, r.markdown, r.error) for k, r in plain.items()}
+    third = A.analyze(docs, Counted(str(notes)), config).collect()
+    assert len(third) == 42 and [x for x in told() if "boom" not in x] == [x for x in again if "boom" not in x]
+
+
 def test_null_text_keeps_its_analysis(spark):
     docs = spark.createDataFrame([("none", None), ("some", "Bilet alındı.")], "doc_id string, text string")
     out = A.analyze(docs, fake, A.AnalysisConfig(retries=0)).collect()
