@@ -28,3 +28,12 @@ def test_a_meeting_holds_a_thousand_events(spark, tmp_path):
     events["user_id"], events["event_type"], events["value"] = events.event_id % 9, "error", 5.0
     mine, theirs = both(spark, tmp_path, "finalized_meetings", events=events)
     assert mine == theirs and len(mine) == 3
+
+
+@pytest.mark.parametrize("name", ["live_flags", "live_stream"])
+def test_a_repeat_at_exactly_the_rate_limit(spark, tmp_path, name):
+    """Twenty characters in 0.8 seconds: which side of the limit they fall on is a matter of the last bit."""
+    first = ["x" * n for n in range(5, 60)]
+    said = pd.DataFrame([(m, turn, "user", text) for m, one in enumerate(first) for turn, text in enumerate([one, "thea eaor aning rethea"])], columns=["conv_id", "turn", "role", "text"])
+    mine, theirs = both(spark, tmp_path, name, conversations=said)
+    assert mine == theirs
