@@ -28,18 +28,21 @@ OPEN, CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 S = X.SPACE
 
+# What follows is looked for only where a digit stands, or a number and a space: the search without case is slow elsewhere.
+DIGIT, COUNTED = "(?=[0-9])", rf"(?=[0-9]+(?:[.,][0-9]+)?{S})"
+
 # What counts as a value, by rank.
 PATTERNS = [
     rf"(?iu)%{S}*[0-9]+(?:[.,][0-9]+)?",
     rf"(?iu)yüzde{S}+(?:[0-9]+(?:[.,][0-9]+)?|{NUMBER_WORD}(?:{S}+{NUMBER_WORD}){{0,4}})",
-    rf"(?iu){EDGE}[0-9]+(?:[.,][0-9]+)?{S}+(?:bin|milyon){S}+{CURRENCY}{EDGE}",
-    rf"(?iu)(?:[0-9]{{1,3}}(?:[.{X.WHITE}][0-9]{{3}})*|[0-9]+)(?:,[0-9]+)?{S}*{CURRENCY}{EDGE}",
+    rf"{COUNTED}(?iu){EDGE}[0-9]+(?:[.,][0-9]+)?{S}+(?:bin|milyon){S}+{CURRENCY}{EDGE}",
+    rf"{DIGIT}(?iu)(?:[0-9]{{1,3}}(?:[.{X.WHITE}][0-9]{{3}})*|[0-9]+)(?:,[0-9]+)?{S}*{CURRENCY}{EDGE}",
     rf"(?iu){NUMBER_WORD}(?:{S}+{NUMBER_WORD}){{0,5}}{S}+{NAMED_CURRENCY}{EDGE}",
-    rf"(?iu){EDGE}[0-9]+(?:[.,][0-9]+)?{S}+{UNIT}{ENDING}{CLOSE}",
+    rf"{COUNTED}(?iu){EDGE}[0-9]+(?:[.,][0-9]+)?{S}+{UNIT}{ENDING}{CLOSE}",
     rf"{OPEN}[A-ZÇĞIİÖŞÜ]{{2,5}}-?[0-9]{{3,8}}{CLOSE}",
-    rf"{EDGE}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{EDGE}",
-    rf"{EDGE}(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-][0-9]{{2,4}}{EDGE}",
-    rf"(?iu){EDGE}[0-9]{{1,2}}{S}+{MONTH}(?:{S}+[0-9]{{4}})?{EDGE}",
+    rf"(?=[0-9]{{4}}-){EDGE}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{EDGE}",
+    rf"(?=[0-9]{{1,2}}[./-]){EDGE}(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-][0-9]{{2,4}}{EDGE}",
+    rf"(?=[0-9]{{1,2}}{S})(?iu){EDGE}[0-9]{{1,2}}{S}+{MONTH}(?:{S}+[0-9]{{4}})?{EDGE}",
     rf"(?iu)(?:{OPEN}(?:bu|gelecek|önümüzdeki|haftaya|geçen|ertesi){S}+)?{OPEN}{WEEKDAY}{ENDING}(?:{S}+günü{ENDING})?{CLOSE}",
 ]
 

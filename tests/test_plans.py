@@ -54,3 +54,9 @@ def test_every_sql_has_a_query():
 def test_queries_are_imported_without_a_session():
     """The caller may list the queries before it opens a session."""
     subprocess.run([sys.executable, "-c", "import talkframe.plans.catalog"], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+@pytest.mark.parametrize("name", ["order_claims", "detected_values"])
+def test_values_are_worked_out_once(spark, name):
+    text = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in text and "Filter ((size(" not in text

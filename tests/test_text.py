@@ -393,3 +393,9 @@ def test_values_keep_their_first_form_at_any_length(value):
     """More matches than one group of the walk holds, each value many times over."""
     said = " ".join(f"{i % 70 + 1} kg ve {i % 70 + 1}  KG;" for i in range(700))
     assert value(E.value_anchors(F.col("a")), a=said) == [f"{i + 1} kg" for i in range(70)]
+
+
+def test_texts_that_hold_the_mark_of_a_cut(value):
+    text = "12 adet\u0002 ve \u000220 koli"
+    assert value(E.value_anchors(F.col("t")), t=text) == ["12 adet", "20 koli"]
+    assert value(E.value_anchors(F.col("t")), t=text.replace("\u0002", "")) == ["12 adet", "20 koli"]
