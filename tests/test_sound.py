@@ -142,6 +142,23 @@ def test_envelope_placement(spark):
     assert "c" not in got
 
 
+def test_silence_is_not_shuffled(spark):
+    """Frames far apart: pieces without sound, the edges of pieces, and a place before the start."""
+    schema = "meeting_id string, seq bigint, offset_samples bigint, mic array<float>, system array<float>"
+    starts = [-3, 0, 1022, 1023, 2048, 5000]
+    rows = [("a", i, b * 256, [1.0 + i, 2.0 + i, 3.0 + i], [0.5]) for i, b in enumerate(starts)] + [("b", 0, -2560, [1.0], [1.0])]
+    want = {}
+    for i, b in enumerate(starts):
+        want.update({b + k: (1.0 + i + k, 0.5 if k == 0 else 0.0) for k in range(3)})
+    placed = sides.place_frames(spark.createDataFrame(rows, schema))
+    got = {r.frame: (r.mic, r.system) for r in placed.filter("meeting_id = 'a'").collect()}
+    assert got == {f: want.get(f, (0.0, 0.0)) for f in range(5003)}
+    assert placed.filter("meeting_id = 'b'").count() == 0
+    joined = placed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(joined) if "Join" in line)
+    assert any("Generate explode(sequence" in line for line in joined[:at])
+
+
 RATE = 16_000
 
 
