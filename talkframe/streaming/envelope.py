@@ -1,8 +1,8 @@
 """Loudness of a running meeting: frames measured from sound as it comes, and laid where their sound lies.
 
-State is kept per meeting and block of frames, so a trigger touches only the blocks that its chunks
-reach. A chunk's place follows from its offset and not from when it comes; what is stored is the
-same for shuffled, repeated, overlapping and late chunks.
+A trigger touches only the state that its chunks reach: written frames are a running aggregate by frame, unfinished
+sums are kept per meeting and block of frames. A chunk's place follows from its offset and not from when it comes; what
+is stored is the same for shuffled, repeated, overlapping and late chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from talkframe.operators.sides import FRAME_SAMPLES
+from talkframe.operators.sides import FRAME_SAMPLES, laid_out
 from talkframe.session import runs_in_tasks
 from talkframe.streaming.ordered import IDLE_MS
 
@@ -23,7 +23,6 @@ runs_in_tasks(__name__)
 
 BLOCK_FRAMES = 256
 
-PLACED = "meeting_id string, block bigint, frames int, mic array<float>, system array<float>"
 MEASURED = "meeting_id string, frame bigint, mic double, system double"
 
 
@@ -60,29 +59,6 @@ class _Block(StatefulProcessor):
         pass
 
 
-class _Placed(_Block):
-    """Frames of one block, each with the number of the chunk that wrote it last."""
-
-    STATE = "written array<bigint>, mic array<float>, system array<float>"
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            written, mic, system = (np.array(x) for x in self.state.get())
-        else:
-            written, mic, system = np.full(BLOCK_FRAMES, -1, np.int64), np.zeros(BLOCK_FRAMES, np.float32), np.zeros(BLOCK_FRAMES, np.float32)
-        newest = 0
-        for batch in rows:
-            for seq, when, at, ours, theirs in batch[["seq", "at", "first", "mic", "system"]].itertuples(index=False, name=None):
-                wide = np.zeros(len(ours), np.float32)
-                wide[: len(theirs)] = theirs
-                here = slice(int(at), int(at) + len(ours))
-                later = written[here] <= seq
-                written[here][later], mic[here][later], system[here][later] = seq, np.asarray(ours, np.float32)[later], wide[later]
-                newest = max(newest, int(when))
-        self.keep((written.tolist(), mic.tolist(), system.tolist()), newest, timerValues)
-        yield pd.DataFrame({"meeting_id": [key[0]], "block": [key[1]], "frames": [int(np.flatnonzero(written >= 0)[-1]) + 1], "mic": [mic.tolist()], "system": [system.tolist()]})
-
-
 class _Measured(_Block):
     """Sums of squares of the frames of one block that are not whole yet, and which chunks they hold."""
 
@@ -134,25 +110,29 @@ def _by_block(pieces: DataFrame, make: Callable[[bool], _Block], out: str, mode:
 
 
 def placed_blocks(chunks: DataFrame, lateness: str | None = None) -> DataFrame:
-    """Blocks of frames that a trigger's chunks have changed, as they stand then (update mode).
+    """Frames that a trigger's chunks reach, as they stand then (update mode): ``(meeting_id, frame, seq, mic, system)``.
 
     ``chunks`` are ``(meeting_id, seq, offset_samples, mic, system)`` with a value per frame; they go
-    where ``sides.place_frames`` puts them. Chunks later than ``lateness`` are dropped.
+    where ``sides.place_frames`` puts them, and the latest ``seq`` counts. Chunks later than ``lateness`` are
+    dropped; a frame's state then goes by the time of the chunk that wrote it.
     """
+    timely = chunks.withWatermark("event_time", lateness) if lateness else chunks
+    times = ["event_time"] if lateness else []
     begin = F.floor(F.col("offset_samples") / FRAME_SAMPLES + 0.5)
-    return _by_block(_pieces(chunks, begin, BLOCK_FRAMES, lateness), _Placed, PLACED, "update", lateness is not None)
+    written = timely.filter(F.size("mic") > 0).select(
+        F.col("meeting_id").cast("string"), "seq", *times, begin.alias("_b"), F.col("system").alias("_system"), F.posexplode("mic").alias("_i", "mic")
+    )
+    silent = F.lit(0.0).cast("float")
+    system = F.coalesce(F.get("_system", F.col("_i")), silent)
+    by_frame = written.groupBy("meeting_id", (F.col("_b") + F.col("_i")).alias("frame"), *times)
+    latest = by_frame.agg(F.max("seq").alias("seq"), F.max_by(F.coalesce("mic", silent), "seq").alias("mic"), F.max_by(system, "seq").alias("system"))
+    return latest.drop(*times)
 
 
-def envelope(blocks: DataFrame) -> DataFrame:
-    """``(meeting_id, frame, mic, system)`` from stored blocks ``(batch, ...)``: their latest state, gaps silent."""
-    latest = blocks.groupBy("meeting_id", "block").agg(F.max_by(F.struct("frames", "mic", "system"), "batch").alias("b")).select("meeting_id", "block", "b.*")
-    ends = latest.groupBy("meeting_id").agg(F.max(F.struct("block", "frames")).alias("_end"))
-    grid = ends.select("meeting_id", F.col("_end.block").alias("_last"), F.col("_end.frames").alias("_frames"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_end.block"))).alias("block"))
-    size = F.when(F.col("block") == F.col("_last"), F.col("_frames")).otherwise(BLOCK_FRAMES)
-    silent = F.lit(0.0).cast("float")
-    rows = grid.join(latest, ["meeting_id", "block"], "left").withColumn("_i", F.explode(F.sequence(F.lit(0), size - 1)))
-    value = lambda c: F.coalesce(F.get(c, F.col("_i")), silent).alias(c)
-    return rows.select("meeting_id", (F.col("block") * BLOCK_FRAMES + F.col("_i")).alias("frame"), value("mic"), value("system"))
+def envelope(frames: DataFrame) -> DataFrame:
+    """``(meeting_id, frame, mic, system)`` from what ``placed_blocks`` has stored, trigger by trigger: the latest of each frame, gaps silent."""
+    latest = frames.groupBy("meeting_id", "frame").agg(F.max_by("mic", "seq").alias("mic"), F.max_by("system", "seq").alias("system"))
+    return laid_out(latest)
 
 
 def measured_frames(chunks: DataFrame, lateness: str | None = None) -> DataFrame:

@@ -46,6 +46,18 @@ def test_envelope_equals_batch(spark, tmp_path, parts):
     assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 2000
 
 
+def test_scattered_chunks_are_no_calls_of_python(spark, tmp_path):
+    """Chunks far apart, each in a block of its own: the state is an aggregate by frame."""
+    rows = [("m", k, k * 256 * 1000, [1.0, 2.0], [0.5]) for k in range(300)] + [("m", 300, 256, [], [])]
+    files(spark, rows, FRAMES, tmp_path, 2)
+    placed = envelope.placed_blocks(stream(spark, FRAMES, tmp_path))
+    assert "TransformWithState" not in placed._jdf.queryExecution().logical().toString()
+    live.run_to_end(placed, f"{tmp_path}/out", f"{tmp_path}/check", mode="update")
+    frames = envelope.envelope(spark.read.parquet(f"{tmp_path}/out"))
+    got = frames.agg(F.count("*").alias("n"), F.sum("mic").alias("mic"), F.sum("system").alias("system")).collect()[0]
+    assert tuple(got) == (299_002, 900.0, 150.0)
+
+
 def test_late_chunks_after_a_restart_and_a_bounded_state(spark, tmp_path):
     timed = FRAMES + ", event_time timestamp"
     at = lambda minute: datetime(2026, 1, 1, 10) + timedelta(minutes=minute)
