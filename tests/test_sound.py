@@ -53,6 +53,24 @@ def test_absurd_times_do_no_harm(spark, segs):
     assert {(r.seg_idx, r.speaker): r.first_turn for r in ties} == {(0, "A"): 0, (0, "B"): 1, (1, "A"): 0, (1, "B"): 1, (4, "A"): 0}
 
 
+@pytest.mark.parametrize("low", [0, 2])
+def test_first_turns_of_many_at_once(spark, segs, low):
+    """Turns that all overlap: a segment meets runs of turns, not every turn; begins, ends and starts coincide."""
+    rng = random.Random(low)
+    turns = [("m", i, float(s := rng.randint(0, 30)), float(s + rng.randint(0, 12)), rng.choice("AB")) for i in rng.sample(range(1000), 150)]
+    rows = [{"start": float(s := rng.randint(0, 40)), "end": float(s + rng.randint(0, 6))} for _ in range(120)]
+    df, listed = segs(*rows), spark.createDataFrame(turns, TURNS)
+    pairs = spark.createDataFrame([("m", i, who) for i in range(120) for who in "AB"], "meeting_id string, seg_idx bigint, speaker string")
+    first = align.first_turns(pairs, df, listed, 5_000_000, low)
+    got = {(r.seg_idx, r.speaker): r.first_turn for r in first.collect()}
+    want = {}
+    for i, r in enumerate(rows):
+        for _, k, s, e, who in turns:
+            if min(r["end"], e) > max(r["start"], s):
+                want[i, who] = min(want.get((i, who), k), k)
+    assert got == want and len(want) > 100
+
+
 def test_first_turns_match_brute_force(spark, segs):
     rng = random.Random(3)
     turns = [("m", i, s := rng.randint(-20, 60) / 7, s + rng.randint(0, 40) / 7, rng.choice("AB")) for i in range(60)]
