@@ -51,16 +51,30 @@ DRAFT_SCHEMA = {
 
 
 def clean_item(c: Column) -> Column:
-    """One line without bullet or raw markup; null when nothing is left."""
-    item = F.regexp_replace(X.strip(c), rf"^[-*]{X.SPACE}+", "")
-    item = F.regexp_replace(item, rf"{X.SPACE}*\r?\n{X.SPACE}*", " ")
+    """One line without bullet or raw markup; null when nothing is left.
+
+    Patterns and lower case cost more than all the rest, so only items that can be changed by them meet them.
+    """
+    bare = lambda x: F.when(F.startswith(x, F.lit("-")) | F.startswith(x, F.lit("*")), F.regexp_replace(x, rf"^[-*]{X.SPACE}+", "")).otherwise(x)
+    # The ends are bare by now, so white space around a line break is what a strip of the lines takes away.
+    lines = lambda x: F.array_join(F.filter(F.transform(F.split(x, "\n"), X.strip), lambda q: q != ""), " ")
+    one_line = lambda x: F.when(F.contains(x, F.lit("\n")), lines(x)).otherwise(x)
+    item = X.let(X.let(X.strip(c), bare), one_line)
     item = X.strip(F.replace(F.replace(item, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
-    return X.let(item, lambda x: F.when((x != "") & (X.lower_tr(x) != EMPTY_SECTION.lower()), x))
+    empty = lambda x: (x == "") | ((F.length(x) == len(EMPTY_SECTION)) & (X.lower_tr(x) == EMPTY_SECTION.lower()))
+    return X.let(item, lambda x: F.when(~empty(x), x))
 
 
 def first_of_each(items: Column) -> Column:
-    first = lambda xs, keys: F.filter(xs, lambda x, i: F.array_position(keys, X.lower_tr(x)) == i + 1)
-    return X.let(items, lambda xs: X.let(F.transform(xs, X.lower_tr), lambda keys: first(xs, keys)))
+    """Without repeats, case aside. Only a list that has some is sorted for its first places."""
+
+    def first(xs: Column, keys: Column) -> Column:
+        placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        opens = lambda ps: F.filter(ps, lambda p, j: (j == 0) | (F.get(ps, j - 1)["k"] != p["k"]))
+        at = F.sort_array(F.transform(X.let(placed, opens), lambda p: p["i"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), xs).otherwise(F.transform(at, lambda i: F.get(xs, i)))
+
+    return X.let(F.array_compact(items), lambda xs: X.let(F.transform(xs, X.lower_tr), lambda keys: first(xs, keys)))
 
 
 def _section_strings(parsed: Column, key: str) -> Column:
@@ -97,14 +111,16 @@ def parse_draft(markdown: Column) -> Column:
         title = lambda h: F.array(F.regexp_replace(F.get(ls, h), heading, "$1"))
         return F.transform(heads, lambda h, k: F.concat(title(h), F.slice(ls, h + 2, until(k) - h - 1)))
 
-    at = lambda ls: F.array_compact(F.transform(ls, lambda s, i: F.when(F.regexp_like(s, F.lit(heading)), i)))
+    at = lambda ls: F.array_compact(F.transform(ls, lambda s, i: F.when(F.startswith(s, F.lit("###")) & F.regexp_like(s, F.lit(heading)), i)))
     bullet = rf"^[-*]{X.SPACE}+(.+)$"
 
     def section(opened: Column, title: str) -> Column:
         mine = F.filter(opened, lambda p: X.strip(p[0]) == title)
         below = F.flatten(F.transform(mine, lambda p: F.slice(p, F.lit(2), F.size(p))))
-        bullets = F.filter(below, lambda s: F.regexp_like(s, F.lit(bullet)))
-        return F.array_compact(F.transform(bullets, lambda s: clean_item(F.regexp_replace(s, bullet, "$1"))))
+        marked = F.filter(below, lambda s: F.startswith(s, F.lit("-")) | F.startswith(s, F.lit("*")))
+        # A bullet that is taken off leaves a shorter line; a line that stays as it is has none.
+        said = lambda s: X.let(F.regexp_replace(s, bullet, "$1"), lambda q: F.when(q != s, clean_item(q)))
+        return F.array_compact(F.transform(marked, said))
 
     headed = X.let(lines, lambda ls: X.let(at(ls), lambda heads: opened_at(ls, heads)))
     return X.let(headed, lambda opened: F.struct(*[section(opened, title).alias(key) for key, title in SECTIONS.items()]))
