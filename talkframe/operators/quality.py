@@ -98,8 +98,13 @@ def word_distance(heard: Column, meant: Column, long_texts: bool = True) -> Colu
 
 def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference", long_texts: bool = True) -> DataFrame:
     """Adds ``distance``, ``ref_tokens``, ``hyp_tokens`` and ``wer``; null where there is no reference."""
+    return _word_errors(runs.withColumn("_line", X.compare_line(F.col(text))), reference, long_texts).drop("_line")
+
+
+def _word_errors(lined: DataFrame, reference: str, long_texts: bool) -> DataFrame:
+    """The word errors of runs whose text stands in its comparison form as ``_line``, which stays."""
     heard, meant = F.col("_heard"), F.col("_meant")
-    worded = runs.withColumn("_heard", X.compare_words(F.col(text))).withColumn("_meant", X.compare_words(F.col(reference)))
+    worded = lined.withColumn("_heard", X.split_words(F.col("_line"))).withColumn("_meant", X.compare_words(F.col(reference)))
     known = lambda c: F.when(F.col(reference).isNotNull(), c)
     apart = word_distance(F.coalesce(heard, F.array().cast("array<string>")), F.coalesce(meant, F.array().cast("array<string>")), long_texts)
     measured = (
@@ -111,13 +116,17 @@ def word_errors(runs: DataFrame, text: str = "text", reference: str = "reference
     return measured.withColumn("wer", known(rate)).drop("_heard", "_meant")
 
 
+def _listed(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("_n", X.compare_line(F.col("term"))).groupBy("scenario").agg(F.collect_set(F.struct("term", "_n")).alias("_terms"))
+
+
 def term_presence(runs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Whether each term of a run's scenario stands in its text: ``(*keys, term, present)``.
 
     ``terms`` are ``(scenario, term)``. Texts are normalised once and meet the list of their
     scenario's terms as one array; the list is a checklist of a handful of terms.
     """
-    listed = terms.withColumn("_n", X.compare_line(F.col("term"))).groupBy("scenario").agg(F.collect_set(F.struct("term", "_n")).alias("_terms"))
+    listed = _listed(terms)
     hay = runs.select(*keys, "scenario", X.compare_line(F.col("text")).alias("_hay"))
     each = hay.join(listed, "scenario").select(*keys, "_hay", F.explode("_terms").alias("_t"))
     return each.select(*keys, F.col("_t.term").alias("term"), F.contains("_hay", F.col("_t._n")).alias("present"))
@@ -142,12 +151,15 @@ def metric_rows(runs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame
     """The metric block of each run.
 
     ``runs`` carry ``scenario, text, reference, reference_path, duration_sec, ms, load_ms, peak_rss,
-    disk_bytes, segments``. A measure without its input is null rather than zero.
+    disk_bytes, segments``. A measure without its input is null rather than zero. A text is normalised
+    once and meets its scenario's terms in its own row, so runs are neither read again nor joined.
     """
     flags = lambda name: F.size(F.filter("segments", lambda s: F.coalesce(s[name], F.lit(False))))
     edges = F.filter(F.concat(F.transform("segments", lambda s: s["start"]), F.transform("segments", lambda s: s["end"])), lambda x: x.isNotNull())
     decimal = F.size(F.filter(edges, lambda x: x != F.floor(x)))
-    measured = word_errors(runs)
+    measured = _word_errors(runs.withColumn("_line", X.compare_line(F.col("text"))), "reference", True).join(_listed(terms), "scenario", "left")
+    total = F.when(F.col("_terms").isNull(), 0).otherwise(F.size("_terms")).cast("bigint")
+    found = F.when(F.col("_terms").isNull(), 0).otherwise(F.size(F.filter("_terms", lambda t: F.contains(F.col("_line"), t["_n"])))).cast("bigint")
     rows = measured.select(
         *keys,
         F.when((F.col("duration_sec") > 0) & (F.col("ms") > 0), F.col("ms") / 1000 / F.col("duration_sec")).alias("rtf"),
@@ -164,8 +176,10 @@ def metric_rows(runs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame
         invented_sentences(F.col("text"), F.col("reference")).alias("invented_sentences"),
         F.size(edges).alias("boundaries"),
         decimal.alias("decimal_boundaries"),
+        found.alias("found"),
+        total.alias("total"),
     )
-    return rows.join(term_recall(runs, terms, keys), keys)
+    return rows.withColumn("recall", F.when(F.col("total") > 0, F.col("found") / F.col("total")).otherwise(F.lit(1.0)))
 
 
 def roll_up(metrics: DataFrame) -> DataFrame:
