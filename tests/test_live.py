@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from talkframe.plans import live_queries
 from talkframe.streaming import live, ordered
 
 CHUNKS = f"meeting_id string, seq bigint, n_samples bigint, segments array<{live.PIECE}>, is_stop boolean"
@@ -153,6 +154,67 @@ def test_early_rows_are_read_and_written_by_blocks():
     assert handle.map.calls < 60 and not handle.map.held
 
 
+class _Part(_Handle):
+    """A part's state: one value and one map, and the calls on them."""
+
+    def __init__(self):
+        super().__init__()
+        self.value = _Value()
+        self.map.keys = lambda: iter(list(self.map.held))
+        self.value.clear = lambda: self.value.update(None)
+
+    def getValueState(self, name, schema):
+        return self.value
+
+
+@pytest.mark.parametrize("held", [40, 65_536])
+def test_small_keys_share_calls_and_entries(monkeypatch, held):
+    """Rows of many sessions in any order, some twice: each in its turn, with a few calls to the state a trigger."""
+    monkeypatch.setattr(ordered, "HELD_TOGETHER", held)
+    said = {f"m{k}": [("start", "pause", "resume", "chunk", "stop")[(k + i) % 5] if i else "start" for i in range(20 + k)] for k in range(50)}
+    rows = [(m, i, 0, e) for m, events in said.items() for i, e in enumerate(events)]
+    rows += [(m, i, 0, e) for m, i, e in (("m0", 300, "chunk"), ("m1", 301, "chunk"))]
+    mixed = random.Random(3).sample(rows + rows[::7], len(rows + rows[::7]))
+    handle, step = _Part(), ordered.InTurnTogether(live._Session, False, "meeting_id")
+    step.init(handle)
+    got = []
+    for k in range(6):
+        table = pd.DataFrame(mixed[k::6], columns=["meeting_id", "seq", "at", "event"])
+        for out in step.handleInputRows((0,), iter([table[:100], table[100:]]), None):
+            got += list(out.itertuples(index=False, name=None))
+    want = []
+    for m, events in said.items():
+        work = live._Session(m, None)
+        want += [row for i, e in enumerate(events) for row in work.take(i, e)]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert list(handle.map.held) == [(1,)] and sum(map(len, step.block(1).values())) == 2
+    assert held == 40 or handle.map.calls < 40
+
+
+def test_state_entries_do_not_follow_the_number_of_sessions(spark, tmp_path):
+    n = ordered.PARTS * 3
+    for step, (lo, event) in enumerate([(1, "pause"), (2, "resume")]):  # row 0 never comes
+        spark.range(n).select(F.col("id").cast("string").alias("meeting_id"), F.lit(lo).cast("bigint").alias("seq"), F.lit(event).alias("event")).coalesce(1).write.parquet(f"{tmp_path}/in/{step}")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    started = live.start_live(live.session_states(stream), f"{tmp_path}/out", f"{tmp_path}/check", once=True)
+    started.awaitTermination()
+    assert started.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * ordered.PARTS
+
+
+def test_a_step_in_several_files_is_one_trigger(spark, tmp_path):
+    """Triggers follow the steps, however many files a step has."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(200_000).select((F.col("id") % 3).alias("week"), "id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        source, files = live_queries.hand_over(df, "week", f"{tmp_path}/in")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(spark.read.parquet(f"{tmp_path}/in").inputFiles()) > 6
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", files).parquet(source)
+    live.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert spark.read.parquet(f"{tmp_path}/out").agg(F.countDistinct("batch"), F.count("*")).first() == (3, 200_000)
+
+
 def test_watermark_gives_up_a_gap(spark, tmp_path):
     """Row 1 of ``a`` never comes; once the watermark has passed row 2 the session goes on without it."""
     at = lambda minute: datetime(2026, 1, 1, 10) + timedelta(minutes=minute)
