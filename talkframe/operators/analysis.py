@@ -85,9 +85,15 @@ def _section_strings(parsed: Column, key: str) -> Column:
 
 
 def coerce_draft(raw: Column) -> Column:
-    """A draft from JSON: known sections only, items cleaned, repeats dropped."""
-    section = lambda parsed, key: first_of_each(F.array_compact(F.transform(_section_strings(parsed, key), clean_item)))
-    return X.let(F.try_parse_json(raw), lambda parsed: F.struct(*[section(parsed, k).alias(k) for k in SECTIONS]))
+    """A draft from JSON: known sections only, items cleaned, repeats dropped.
+
+    The rules stand once in the expression and go over the sections as an array: building and planning them
+    nine times over takes seconds each time.
+    """
+    cleaned = lambda items: first_of_each(F.array_compact(F.transform(items, clean_item)))
+    sections = lambda parsed: F.transform(F.array(*[_section_strings(parsed, k) for k in SECTIONS]), cleaned)
+    named = lambda each: F.struct(*[F.get(each, F.lit(i)).alias(k) for i, k in enumerate(SECTIONS)])
+    return X.let(F.try_parse_json(raw), lambda parsed: X.let(sections(parsed), named))
 
 
 def serialize_draft(draft: Column) -> Column:
@@ -344,14 +350,20 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
     anchors = docs.select("doc_id", anchor_block(F.col("requests"), F.col("values")).alias("_anchors"))
     base = len(config.merge_intro) + 2 + 60
     finished: list[DataFrame] = []
-    current = cut(drafts.withColumn("markdown", serialize_draft(F.col("draft"))))
+    # The rounds share their expressions, which take longer to build than a late round's few rows to work off.
+    printed, read_back = serialize_draft(F.col("draft")).alias("markdown"), coerce_draft(F.col("raw")).alias("draft")
+    partials = F.transform("_m", lambda m: m["markdown"])
+    shown = F.when(F.col("last"), F.col("_anchors")).otherwise(anchor_block(F.array(), F.array()))
+    asked_for = merge_prompt(partials, shown, config).alias("prompt")
+    cost = (F.length("markdown") + 22).cast("bigint")
+    packed = pack_groups(F.transform("_s", lambda s: s["cost"]), base, config).alias("_g")
+    current = cut(drafts.select("*", printed))
     while True:
-        cost = (F.length("markdown") + 22).cast("bigint")
         sizes = current.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("draft_idx", cost.alias("cost")))).alias("_s"))
         grouped = sizes.join(anchors, "doc_id").select(
             "doc_id",
             F.transform("_s", lambda s: s["draft_idx"]).alias("_idx"),
-            pack_groups(F.transform("_s", lambda s: s["cost"]), base, config).alias("_g"),
+            packed,
             (F.aggregate("_s", F.lit(0).cast("bigint"), lambda a, s: a + s["cost"]) + F.length("_anchors")).alias("_chars"),
         )
         fits = config.request_tokens(F.col("_chars") + base) <= config.num_ctx
@@ -368,12 +380,10 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
             )
             .join(anchors, "doc_id")
         )
-        partials = F.transform("_m", lambda m: m["markdown"])
-        shown = F.when(F.col("last"), F.col("_anchors")).otherwise(anchor_block(F.array(), F.array()))
         needed = F.col("last") | (F.size("_m") > 1)
-        calls = gathered.filter(needed).select("doc_id", "group", "last", "_e", merge_prompt(partials, shown, config).alias("prompt"))
+        calls = gathered.filter(needed).select("doc_id", "group", "last", "_e", asked_for)
         asked = _ask(calls, fn, config, "doc_id", "group")
-        merged = asked.select("doc_id", "group", "last", coerce_draft(F.col("raw")).alias("draft"), F.coalesce("error", "_e").alias("error"))
+        merged = asked.select("doc_id", "group", "last", read_back, F.coalesce("error", "_e").alias("error"))
         passed = gathered.filter(~needed).select("doc_id", "group", "last", F.col("_d").alias("draft"), F.col("_e").alias("error"))
         # Answers of an outside service are not repeatable, so they are kept before they are used twice.
         result = cut(merged.unionByName(passed))
@@ -381,7 +391,7 @@ def reduce_drafts(drafts: DataFrame, docs: DataFrame, fn: Extractor, config: Ana
         rest = result.filter(~F.col("last"))
         if rest.isEmpty():
             break
-        current = cut(rest.select("doc_id", F.col("group").alias("draft_idx"), "draft", "error", serialize_draft(F.col("draft")).alias("markdown")))
+        current = cut(rest.select("doc_id", F.col("group").alias("draft_idx"), "draft", "error", printed))
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)

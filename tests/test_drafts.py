@@ -31,3 +31,12 @@ def test_a_long_list_of_items_is_not_compared_pair_by_pair(spark):
     began = time.perf_counter()
     got = spark.range(1).select(F.size(A.first_of_each(items))).collect()[0][0]
     assert got == 99_999 and time.perf_counter() - began < 20
+
+
+def test_a_draft_is_read_by_one_set_of_rules(spark):
+    """The rules of an item stand once in the expression, not once a section: late rounds of a job cost their building."""
+    built = spark.range(1).select(A.coerce_draft(F.lit('{"decisions": ["- a", "A", "b"], "nextSteps": ["c", 1]}')).alias("d"))
+    plan = built._jdf.queryExecution().analyzed().toString()
+    assert plan.count("&lt;") == 1
+    got = built.first().d.asDict()
+    assert got.pop("decisions") == ["a", "b"] and got.pop("nextSteps") == ["c"] and set(map(tuple, got.values())) == {()}
