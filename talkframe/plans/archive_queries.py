@@ -16,7 +16,7 @@ from talkframe.session import cut, run_folder, widen
 from talkframe.sources import corpus
 from talkframe.sources import meeting_files as meeting_store
 from talkframe.sources import runs as run_files
-from talkframe.sources.meetings import explode_segments, markdown_lines
+from talkframe.sources.meetings import markdown_lines
 
 ARC = "WITH " + T.ARCHIVE_SQL
 LIST_SQL = (
@@ -260,8 +260,12 @@ def meeting_files(spark: SparkSession, sf: str) -> DataFrame:
     meeting_store.write_files(arc.analyses.filter(F.col("markdown").isNotNull()), root, "analyses")
     meeting_store.write_files(arc.meetings.withColumnRenamed("id", "meeting_id"), root, "meta")
     told = meeting_store.read_files(spark, root, "transcripts")
-    said = explode_segments(told).groupBy("meeting_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.count_distinct("speaker").alias("speakers"))
-    said = said.join(told.select("meeting_id", "meeting_scope", F.md5("text").alias("text_md5")), "meeting_id")
+    # A meeting's segments are one row of the files, so what they hold is told within it and each file is read once.
+    chars = F.aggregate("segments", F.lit(0).cast("bigint"), lambda a, s: a + F.length(F.coalesce(s["text"], F.lit(""))))
+    named = F.array_distinct(F.array_compact(F.transform("segments", lambda s: s["speaker"])))
+    said = told.filter(F.size("segments") > 0).select(
+        "meeting_id", F.size("segments").cast("bigint").alias("segments"), chars.alias("chars"), F.size(named).cast("bigint").alias("speakers"), "meeting_scope", F.md5("text").alias("text_md5")
+    )
     return meeting_store.read_files(spark, root, "meta").join(said, "meeting_id", "left").join(meeting_store.read_files(spark, root, "analyses"), "meeting_id", "left")
 
 

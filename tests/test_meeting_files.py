@@ -76,3 +76,11 @@ def test_documents(spark, tmp_path):
     M.write_files(M.document_rows(df), str(tmp_path), "markdown")
     assert (tmp_path / "m" / "a b.md").read_text() == "# a b\n\n## T\n\nS: first\nS: last\n"
     assert [tuple(r) for r in M.read_files(spark, str(tmp_path), "markdown").collect()] == [("m", "a b.md", "# a b\n\n## T\n\nS: first\nS: last\n")]
+
+
+def test_each_kind_is_read_once(spark):
+    """What a meeting's segments hold is told within its row, so no kind of file is read twice."""
+    from talkframe.plans import archive_queries
+
+    told = archive_queries.meeting_files(spark, "/root/testdata/sf0.001")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 3
