@@ -15,14 +15,15 @@ MOST_VALUE_WORDS, MOST_LABEL_WORDS, MOST_BARE_WORDS, MOST_VALUES = 6, 5, 3, 24
 
 
 def parse_item(item: Column) -> Column:
-    """``label: value`` as ``(label, value_line, item_line, text)``; null where it reads as prose."""
-    def split_at(text: Column) -> Column:
-        colon = F.instr(text, ":")
-        labelled = colon > 1
-        label = F.when(labelled, X.strip(F.substring(text, F.lit(1), colon - 1)))
-        value = F.when(labelled, X.strip(F.substring(text, colon + 1, F.length(text)))).otherwise(text)
+    """``label: value`` as ``(label, value_line, text)``; null where it reads as prose."""
+    def split_at(text: Column, colon: Column) -> Column:
+        label = F.when(colon > 1, X.strip(F.substring(text, F.lit(1), colon - 1)))
+        value = F.when(colon > 1, X.strip(F.substring(text, colon + 1, F.length(text)))).otherwise(text)
+        return F.struct(label.alias("label"), value.alias("value"), text.alias("text"))
+
+    def lines(p: Column) -> Column:
         # An empty label is no label.
-        return F.struct(X.match_form(F.nullif(label, F.lit(""))).alias("label"), X.match_form(value).alias("value_line"), X.match_form(text).alias("item_line"), text.alias("text"))
+        return F.struct(X.match_form(F.nullif(p["label"], F.lit(""))).alias("label"), X.match_form(p["value"]).alias("value_line"), p["text"].alias("text"))
 
     def checked(p: Column) -> Column:
         label, value_line = p["label"], p["value_line"]
@@ -32,7 +33,14 @@ def parse_item(item: Column) -> Column:
         )
         return F.when((value_line != "") & fit, p)
 
-    return X.let(X.let(X.strip(item), split_at), checked)
+    parts = X.let(X.strip(item), lambda text: X.let(F.instr(text, ":"), lambda colon: split_at(text, colon)))
+    return X.let(X.let(parts, lines), checked)
+
+
+def item_words(p: Column) -> Column:
+    """Words of an item. A colon parts words, so its label and its value have them; but not so lower case, in which a last sigma differs."""
+    line = F.when(F.contains(p["text"], F.lit("Σ")), X.match_form(p["text"])).otherwise(F.trim(F.concat_ws(" ", p["label"], p["value_line"])))
+    return X.split_words(line)
 
 
 def stands_in(hay: Column, value_line: Column) -> Column:
@@ -55,11 +63,9 @@ def words_match(a: Column, b: Column) -> Column:
     return (a == b) | _suffix_of(a, b) | _suffix_of(b, a)
 
 
-def covers(item_line: Column, anchor_line: Column) -> Column:
+def covers(words: Column, anchor: Column) -> Column:
     """Whether every word of an anchor matches some word of an item, endings aside."""
-    return (anchor_line != "") & F.forall(
-        X.split_words(anchor_line), lambda a: F.exists(X.split_words(item_line), lambda t: words_match(t, a))
-    )
+    return (anchor["line"] != "") & F.forall(anchor["words"], lambda a: F.exists(words, lambda t: words_match(t, a)))
 
 
 def merge_values(items: Column, anchors: Column, hay: Column) -> Column:
@@ -70,6 +76,7 @@ def merge_values(items: Column, anchors: Column, hay: Column) -> Column:
     """
     parsed = F.filter(F.transform(items, parse_item), lambda p: p.isNotNull())
     lined = F.transform(anchors, lambda a: F.struct(a.alias("text"), X.match_form(a).alias("line")))
+    worded = F.transform(lined, lambda a: F.struct(a["text"].alias("text"), a["line"].alias("line"), X.split_words(a["line"]).alias("words")))
 
     def merged(grounded: Column) -> Column:
         labels = F.transform(grounded, lambda p: p["label"])
@@ -80,7 +87,7 @@ def merge_values(items: Column, anchors: Column, hay: Column) -> Column:
             ),
         )
         kept = F.slice(F.transform(last, lambda p: p["text"]), 1, MOST_VALUES)
-        missed = F.filter(lined, lambda a: ~F.exists(grounded, lambda p: covers(p["item_line"], a["line"])))
+        missed = X.let(F.transform(grounded, item_words), lambda of: F.filter(worded, lambda a: ~F.exists(of, lambda words: covers(words, a))))
         return F.slice(F.concat(kept, F.transform(missed, lambda a: a["text"])), 1, MOST_VALUES)
 
     spaced = F.concat(F.lit(" "), hay, F.lit(" "))

@@ -399,3 +399,25 @@ def test_texts_that_hold_the_mark_of_a_cut(value):
     text = "12 adet\u0002 ve \u000220 koli"
     assert value(E.value_anchors(F.col("t")), t=text) == ["12 adet", "20 koli"]
     assert value(E.value_anchors(F.col("t")), t=text.replace("\u0002", "")) == ["12 adet", "20 koli"]
+
+
+def test_numbers_that_overlap(spark):
+    cases = {
+        "10.11.12.13 ve 05.03.24 günü": ["10.11.12", "05.03.24", "03.24 günü"],
+        "1234 567 TL, 1 234 567,50 TL, 12 bin lira": ["234 567 TL", "1 234 567,50 TL", "12 bin lira"],
+        "%5 TL; 5.6 kg, ı7 kg; CUMA-123; 9 TLı": ["%5", "5 TL", "5.6 kg", "CUMA-123"],
+        "yüzde yüzde beş, 2024-03-05 günü, onbin TL": ["yüzde yüz", "2024-03-05", "05 günü", "bin TL"],
+    }
+    assert each(spark, E.value_anchors(a), cases) == list(cases.values())
+
+
+def test_numbers_are_looked_for_in_one_pass(spark):
+    text = spark.createDataFrame([("5 kg",)], "a string").select(E.value_anchors(a).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace(") <= 6
+
+
+def test_words_of_claims(value):
+    merged = lambda items, text: value(V.merge_values(F.col("a"), E.value_anchors(F.col("t")), X.match_form(F.col("t"))), a=items, t=text)
+    text = "ΑΣ:β 5 kg; 1 234 567 890 TL, Tutar 12,5 TL ,3 adet"
+    assert merged(["ΑΣ:5 kg", "Tutar,: ,12,5 TL", "yok: 7 kg"], text) == ["ΑΣ:5 kg", "Tutar,: ,12,5 TL", "1 234 567 890 TL", "3 adet"]
+    assert merged([" : 3 adet", "8 kg"], text) == [": 3 adet", "5 kg", "1 234 567 890 TL", "12,5 TL"]
