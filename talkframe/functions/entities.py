@@ -156,7 +156,7 @@ def uncovered(matches: Column) -> Column:
 
 def unique_in_order(values: Column, most: int) -> Column:
     """First of each trimmed value, case and white space aside, at most ``most`` of them."""
-    keyed = F.transform(values, lambda v: F.struct(X.squeeze(X.lower_tr(v)).alias("key"), v.alias("value")))
+    keyed = F.transform(F.array_distinct(values), lambda v: F.struct(X.squeeze(X.lower_tr(v)).alias("key"), v.alias("value")))
     value = lambda ks, keys, k: F.get(ks, (F.array_position(keys, k) - 1).cast("int"))["value"]
 
     def firsts(ks: Column, keys: Column, distinct: Column) -> Column:
